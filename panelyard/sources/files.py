@@ -143,4 +143,4 @@ def build_factors(five: DataFrame, momentum: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A finished (small, already rounded) table as CSV with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).csv(path)
