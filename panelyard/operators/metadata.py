@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import slug
@@ -11,11 +11,17 @@ CATEGORIES = ("cat_economic", "cat_data", "cat_form")
 RAW_COLUMNS = (*CATEGORIES, "stock_weight", "pub_year", "sample_start_year", "sample_end_year")
 
 
-def category_levels(df: DataFrame, col: str, k: int = 10) -> list[str]:
-    """The ``k`` most frequent non-null levels, ties by name."""
-    top = (df.where(F.col(col).isNotNull()).groupBy(col).count()
-           .orderBy(F.desc("count"), F.asc(col)).limit(k))
-    return [r[0] for r in top.collect()]  # at most k names
+def common_levels(df: DataFrame, cols: list[str], k: int = 10) -> dict[str, list[str]]:
+    """The ``k`` most frequent non-null levels of each column, ties by name, in one job."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("level")) for c in cols])
+    counts = (df.select(F.explode(pairs).alias("p")).select("p.*")
+              .where(F.col("level").isNotNull()).groupBy("col", "level").count())
+    order = Window.partitionBy("col").orderBy(F.desc("count"), F.asc("level"))
+    top = counts.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for row in sorted(top.collect(), key=lambda x: x["_k"]):  # k names per column
+        out[row["col"]].append(row["level"])
+    return out
 
 
 def one_hot(df: DataFrame, col: str, levels: list[str]) -> DataFrame:
@@ -39,8 +45,11 @@ def attach_metadata(df: DataFrame, metadata: DataFrame, levels: dict[str, list[s
         (F.col("sample_end_year") - F.col("sample_start_year")).cast("double")
         .alias("orig_sample_years"),
         (F.upper("stock_weight") == "VW").cast("double").alias("is_value_weighted"))
-    for col in CATEGORIES:
-        if col in out.columns:
-            chosen = levels[col] if levels and col in levels else category_levels(out, col)
-            out = one_hot(out, col, chosen)
+    cats = [c for c in CATEGORIES if c in out.columns]
+    chosen = dict(levels or {})
+    unknown = [c for c in cats if c not in chosen]
+    if unknown:
+        chosen |= common_levels(out, unknown)
+    for col in cats:
+        out = one_hot(out, col, chosen[col])
     return out.drop(*RAW_COLUMNS) if drop_raw else out

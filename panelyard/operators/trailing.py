@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelyard.config import MAX_MONTHS
 from panelyard.functions.scalars import at_least
-from panelyard.operators.universe import BY_ASSET, month_table
+from panelyard.operators.universe import by_asset, month_table
 from panelyard.sources.store import attach
 
 # Window lengths in months.
@@ -25,7 +25,7 @@ SHARPE_WINDOWS = (36, 60)
 
 def rolling(agg: Column, seen: Column, length: int, least: int) -> Column:
     """``agg`` over the asset's last ``length`` rows, NULL below ``least`` values."""
-    w = BY_ASSET.rowsBetween(-(length - 1), 0)
+    w = by_asset().rowsBetween(-(length - 1), 0)
     return F.when(F.count(seen).over(w) >= least, agg.over(w))
 
 
@@ -40,7 +40,7 @@ def add_return_features(df: DataFrame) -> DataFrame:
         mean = rolling(F.avg(ret), ret, w, w // 2)
         cols.append((mean / at_least(vol[w], 1e-6) * math.sqrt(12)).alias(f"sharpe_{w}"))
     cols.append(rolling(F.skewness(ret), ret, 36, 36).alias("skew_36"))
-    cols.append(F.sum(lr).over(BY_ASSET.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"))
+    cols.append(F.sum(lr).over(by_asset().rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"))
     out = df.select("*", *cols)
     peak = rolling(F.max("_cum"), F.col("_cum"), 60, 12)
     return out.withColumn("dd_60", F.col("_cum") - peak).drop("_cum")

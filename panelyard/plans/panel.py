@@ -19,10 +19,11 @@ def build_panel(returns: DataFrame, metadata: DataFrame, causal: DataFrame | Non
     """Screen, features, metadata, costs, target, in that order.
 
     Windows run after the publication screen, so they only see rows an investor
-    could have held. ``with_keys`` may add columns the cost join needs. The feature
-    block is written once: the cost fill and the target both read it again.
+    could have held. ``with_keys`` may add columns the cost join needs. The screened
+    returns are written once, so the raw source is scanned once for both the windows and
+    the index; the feature block is written once for the cost fill and the target.
     """
-    df = post_publication(returns, metadata, settings.universe)
+    df = materialise(post_publication(returns, metadata, settings.universe), "universe")
     df = add_index_features(add_return_features(df))
     if with_keys is not None:
         df = with_keys(df)

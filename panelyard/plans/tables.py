@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.config import Settings
 from panelyard.functions.months import decimal_year
@@ -174,7 +175,7 @@ def _small_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return df.withColumn(out, (F.rank().over(w) + upto) / 2.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a rank correlation from Student's t with n-2 degrees.
 
