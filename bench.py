@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -41,7 +40,7 @@ def main() -> None:
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")
-             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-bench-"))
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()

@@ -23,27 +23,54 @@ VOL_WINDOWS = (12, 36, 60)
 SHARPE_WINDOWS = (36, 60)
 
 
-def rolling(agg: Column, seen: Column, length: int, least: int) -> Column:
-    """``agg`` over the asset's last ``length`` rows, NULL below ``least`` values."""
-    w = by_asset().rowsBetween(-(length - 1), 0)
-    return F.when(F.count(seen).over(w) >= least, agg.over(w))
+def _past(total: Column, length: int) -> Column:
+    """Sum over the last ``length`` rows from a running total: O(1) per row."""
+    return total - F.coalesce(F.lag(total, length).over(by_asset()), F.lit(0.0))
+
+
+def _last(agg: Column, length: int) -> Column:
+    return agg.over(by_asset().rowsBetween(-(length - 1), 0))
+
+
+def spread_assets(df: DataFrame) -> DataFrame:
+    """Hash the rows by asset at full width, once, for every window that follows.
+
+    An explicit width keeps adaptive coalescing (which looks at bytes, not at the work
+    of sliding windows) from folding the stage into a few tasks.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, "signalname")
 
 
 def add_return_features(df: DataFrame) -> DataFrame:
-    ret, lr = F.col("ret"), F.log1p(F.col("ret"))
-    total = {w: rolling(F.sum(lr), lr, w, w) for w in RETURN_WINDOWS}
-    vol = {w: rolling(F.stddev_samp(ret), ret, w, w // 2) for w in VOL_WINDOWS}
-    cols = [(F.exp(total[w]) - 1).alias(f"r_{w}") for w in RETURN_WINDOWS]
-    cols += [ret.alias("r_1"), (F.exp(total[12] - lr) - 1).alias("r_12_2")]
-    cols += [vol[w].alias(f"vol_{w}") for w in VOL_WINDOWS]
+    """Trailing returns, risk, skew and drawdown from rows with a return.
+
+    As every row counts, "at least k observations" is a test on the row number. Sums
+    come from running totals; only the central moments slide.
+    """
+    ret, own = F.col("ret"), by_asset()
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.where(ret.isNotNull()).select(
+        "*", F.row_number().over(own).alias("_k"), F.sum(F.log1p(ret)).over(upto).alias("_cum"),
+        F.sum(ret).over(upto).alias("_sum"),
+        *[_last(F.stddev_samp(ret), w).alias(f"_sd_{w}") for w in VOL_WINDOWS],
+        _last(F.skewness(ret), 36).alias("_skew"))
+    k, cum = F.col("_k"), F.col("_cum")
+
+    def seen(least: int, value: Column) -> Column:
+        return F.when(k >= least, value)
+
+    cols = [seen(w, F.exp(_past(cum, w)) - 1).alias(f"r_{w}") for w in RETURN_WINDOWS]
+    cols += [ret.alias("r_1"), seen(12, F.exp(_past(cum, 12) - F.log1p(ret)) - 1).alias("r_12_2")]
+    cols += [seen(w // 2, F.col(f"_sd_{w}")).alias(f"vol_{w}") for w in VOL_WINDOWS]
     for w in SHARPE_WINDOWS:
-        mean = rolling(F.avg(ret), ret, w, w // 2)
-        cols.append((mean / at_least(vol[w], 1e-6) * math.sqrt(12)).alias(f"sharpe_{w}"))
-    cols.append(rolling(F.skewness(ret), ret, 36, 36).alias("skew_36"))
-    cols.append(F.sum(lr).over(by_asset().rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"))
-    out = df.select("*", *cols)
-    peak = rolling(F.max("_cum"), F.col("_cum"), 60, 12)
-    return out.withColumn("dd_60", F.col("_cum") - peak).drop("_cum")
+        mean = _past(F.col("_sum"), w) / F.least(k, F.lit(w))
+        risk = at_least(F.col(f"_sd_{w}"), 1e-6)
+        cols.append(seen(w // 2, mean / risk * math.sqrt(12)).alias(f"sharpe_{w}"))
+    cols.append(seen(36, F.col("_skew")).alias("skew_36"))
+    cols.append(seen(12, cum - _last(F.max(cum), 60)).alias("dd_60"))
+    return df.select("*", *cols).drop("_k", "_cum", "_sum", "_skew",
+                                      *[f"_sd_{w}" for w in VOL_WINDOWS])
 
 
 def with_index(df: DataFrame) -> DataFrame:
@@ -54,14 +81,16 @@ def with_index(df: DataFrame) -> DataFrame:
 
 def add_index_features(df: DataFrame) -> DataFrame:
     """Beta and correlation to the equal-weighted index, and its trailing sum."""
-    df = with_index(df)
-    ret, idx = F.col("ret"), F.col("idx_ret")
-    both = F.when(ret.isNotNull() & idx.isNotNull(), ret)
-    cov = rolling(F.covar_samp(ret, idx), both, 60, 24)
-    sd_idx = rolling(F.stddev_samp(idx), idx, 60, 24)
-    sd_own = rolling(F.stddev_samp(ret), ret, 60, 24)
+    ret, idx, own = F.col("ret"), F.col("idx_ret"), by_asset()
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    df = with_index(df.where(ret.isNotNull())).select(
+        "*", F.row_number().over(own).alias("_k"), F.sum(idx).over(upto).alias("_sum"),
+        _last(F.covar_samp(ret, idx), 60).alias("_cov"),
+        _last(F.stddev_samp(idx), 60).alias("_sx"), _last(F.stddev_samp(ret), 60).alias("_sy"))
+    k, cov, sx, sy = (F.col(c) for c in ("_k", "_cov", "_sx", "_sy"))
     return df.select(
         "*",
-        (cov / at_least(sd_idx * sd_idx, 1e-12)).alias("beta_idx"),
-        (cov / at_least(sd_idx * sd_own, 1e-12)).alias("corr_idx"),
-        rolling(F.sum(idx), idx, 12, 12).alias("idx_r_12"))
+        F.when(k >= 24, cov / at_least(sx * sx, 1e-12)).alias("beta_idx"),
+        F.when(k >= 24, cov / at_least(sx * sy, 1e-12)).alias("corr_idx"),
+        F.when(k >= 12, _past(F.col("_sum"), 12)).alias("idx_r_12"),
+    ).drop("_k", "_sum", "_cov", "_sx", "_sy")

@@ -56,14 +56,12 @@ def out(df: DataFrame, *cols: str, digits: int = 8, coarse: dict[str, int] | Non
     """Chosen columns with floats rounded (and no negative zero). A small offset keeps
     exact decimal halves off the rounding boundary."""
     df = df.select(*cols) if cols else df
-    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-
-    def near(c: str):
-        nd = (coarse or {}).get(c, digits)
-        nudge = F.lit(float(f"0.123e-{nd}"))
-        return F.round(F.col(c).cast("double") + nudge, nd) + F.lit(0.0)
-
-    return df.withColumns({c: near(c) for c in floats})
+    items = []
+    for f in df.schema.fields:
+        nd = (coarse or {}).get(f.name, digits)
+        items.append(f"round(cast(`{f.name}` as double) + 0.123e-{nd}D, {nd}) + 0D AS `{f.name}`"
+                     if f.dataType.typeName() in ("double", "float") else f"`{f.name}`")
+    return df.selectExpr(*items)
 
 
 # ------------------------------------------------------------------- stages
@@ -220,7 +218,7 @@ _TRAILING = ("r_1", "r_3", "r_6", "r_12", "r_24", "r_36", "r_60", "r_12_2", "vol
 @query("return_features", f"""
     SELECT signalname, yyyymm, {r(*_TRAILING)}, {r('skew_36', digits=5)} FROM feat""")
 def return_features(spark, sf_dir):
-    df = trailing.add_return_features(returns_in_universe(spark, sf_dir))
+    df = trailing.add_return_features(trailing.spread_assets(returns_in_universe(spark, sf_dir)))
     return out(df, "signalname", "yyyymm", *_TRAILING, "skew_36", coarse={"skew_36": 5})
 
 
@@ -228,7 +226,8 @@ def return_features(spark, sf_dir):
     SELECT signalname, yyyymm, n_available,
            {r('idx_ret', 'beta_idx', 'corr_idx', 'idx_r_12', digits=7)} FROM idxfeat""")
 def index_features(spark, sf_dir):
-    df = trailing.add_index_features(returns_in_universe(spark, sf_dir))
+    df = materialise(returns_in_universe(spark, sf_dir), "universe")
+    df = trailing.add_index_features(trailing.spread_assets(df))
     return out(df, "signalname", "yyyymm", "n_available", "idx_ret", "beta_idx", "corr_idx",
                "idx_r_12", digits=7)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from panelyard.config import Settings
 from panelyard.operators.metadata import attach_metadata
-from panelyard.operators.trailing import add_index_features, add_return_features
+from panelyard.operators.trailing import add_index_features, add_return_features, spread_assets
 from panelyard.operators.turnover import attach_costs
 from panelyard.operators.universe import add_target, in_panel_order, post_publication
 from panelyard.sources.store import materialise
@@ -24,7 +24,7 @@ def build_panel(returns: DataFrame, metadata: DataFrame, causal: DataFrame | Non
     the index; the feature block is written once for the cost fill and the target.
     """
     df = materialise(post_publication(returns, metadata, settings.universe), "universe")
-    df = add_index_features(add_return_features(df))
+    df = add_index_features(add_return_features(spread_assets(df)))
     if with_keys is not None:
         df = with_keys(df)
     df = materialise(df, "features")

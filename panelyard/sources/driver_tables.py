@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cents(c: str) -> Column:
-    return F.sum(F.round(F.col(c) * 100).cast("long")).cast("double")
+def _cents(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(F.floor(c * 100 + 0.5)).cast("double")
 
 
 def _mean_discount() -> Column:
@@ -83,8 +84,7 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = {f: F.when(F.col("l_returnflag") == f, F.col("l_discount")) for f in "AR"}
 
     def mean(c: Column) -> Column:
-        cents = F.sum(F.round(c * 100).cast("long")).cast("double")
-        return F.try_divide(cents, F.count(c) * 100.0) - 0.05
+        return F.try_divide(_cents(c), F.count(c) * 100.0) - 0.05
 
     return (table(spark, sf_dir, "lineitem").groupBy(yyyymm(F.col("l_shipdate")).alias("yyyymm"))
             .agg(mean(F.col("l_discount")).alias("mktrf"), mean(flag["A"]).alias("smb"),
