@@ -101,7 +101,7 @@ def cap_weights(book: DataFrame, cap: float, *, keys=("model", "scheme", "yyyymm
     chosen = book if schemes is None else book.where(F.col("scheme").isin(*schemes))
     months = chosen.groupBy(*keys).agg(
         F.sum(w).alias("_budget"), F.max(w).alias("_max"), F.count(w).alias("_names"))
-    binding = months.where((F.col("_max") > over) & (F.col("_names") * cap > F.col("_budget")))
+    binding = months.where((F.col("_max") > over) & (F.col("_names") * cap > F.col("_budget") + 1e-9))
     extent = binding.agg(F.max("_budget").alias("b"), F.count(F.lit(1)).alias("g")).first()
     if not extent["g"]:
         return book

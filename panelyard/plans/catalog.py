@@ -460,7 +460,7 @@ def _cap_passes(cap: float, passes: int = 12) -> dict[str, str]:
     parts = {
         "cap_in": "SELECT * FROM w_tilt UNION ALL SELECT * FROM w_quantile",
         "pass_0": f"""SELECT {k}, sum(weight) AS budget, 0 AS k, 1e0 AS c,
-                             count(*) * CAST({cap} AS DOUBLE) <= sum(weight) AS done
+                             count(*) * CAST({cap} AS DOUBLE) <= sum(weight) + 1e-9 AS done
                       FROM cap_in GROUP BY {k}"""}
     for i in range(1, passes + 1):
         parts[f"pass_{i}"] = f"""
