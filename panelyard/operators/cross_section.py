@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.sources.store import attach
+from panelyard.sources.store import attach, materialise
 
 ROW_LIMIT = 1_000_000
 SAMPLES_PER_CELL = 32
@@ -60,17 +60,23 @@ def with_group_aggs(df: DataFrame, keys, section: Section, row_limit: int | None
 
 def rank_within(df: DataFrame, keys, value: str, *, tie: str, section: Section,
                 average: str | None = None, ordinal: str | None = None,
-                size: str | None = None, row_limit: int | None = None) -> DataFrame:
+                size: str | None = None, row_limit: int | None = None,
+                stored: bool = False) -> DataFrame:
     """Rank non-null ``value`` ascending inside each group.
 
     ``average`` names a column for the tie-averaged rank, ``ordinal`` for a
     strict 1..n order with ties broken by ``tie`` (unique in the group), ``size``
     for the non-null count. Rows with a NULL value get NULL ranks.
+
+    Cells take several passes that must see the same bits, so their input is written
+    first unless the caller says it is ``stored`` already.
     """
     keys = list(keys)
     if _fits(section, row_limit):
         return _rank_windowed(df, keys, value, tie, average, ordinal, size)
     limit = ROW_LIMIT if row_limit is None else row_limit
+    if not stored:
+        df = materialise(df, "ranked")
     if average or not ordinal:
         df = _rank_celled(df, keys, F.col(value), tie, section, limit, average, size)
         size = None

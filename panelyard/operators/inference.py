@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelyard.config import MAX_MONTHS
 from panelyard.functions.scalars import pearson, sharpe
 from panelyard.operators.cross_section import Section, measure, rank_within
+from panelyard.sources.store import attach
 
 MONTHS = 12
 FACTORS = ("mktrf", "smb", "hml", "rmw", "cma", "umd")
@@ -93,6 +94,19 @@ def scaled_r2(x: Column, y: Column) -> Column:
     return 1.0 - F.try_divide(lost, F.sum(y * y))
 
 
+def scale_to_target(df: DataFrame, *, score: str = "score", target: str = "ret_next",
+                    models: int | None = None) -> DataFrame:
+    """Add ``fitted``, the score restated by one OLS line per model; a constant score
+    becomes the mean outcome. ``models`` is a proven bound on their number."""
+    x, y = F.col(score), F.col(target)
+    lines = df.groupBy("model").agg(
+        F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
+        F.coalesce(F.try_divide(F.covar_samp(x, y), F.var_samp(x)), F.lit(0.0)).alias("_b"))
+    return (attach(df, lines, ["model"], models)
+            .withColumn("fitted", F.col("_my") + F.col("_b") * (x - F.col("_mx")))
+            .drop("_mx", "_my", "_b"))
+
+
 def monthly_ic(df: DataFrame, *, score: str = "score", target: str = "ret_next",
                method: str = "spearman", series: tuple[str, ...] = ("model",),
                section: Section | None = None, row_limit: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelyard.operators.cross_section import (ROW_LIMIT, Section, group_quantiles, measure,
                                                rank_within)
 from panelyard.operators.universe import demean
-from panelyard.sources.store import attach
+from panelyard.sources.store import attach, materialise
 
 
 def _to_unit(rank: Column, n: Column, fill: float) -> Column:
@@ -34,11 +34,12 @@ def rank_normalise(df: DataFrame, cols: list[str], *, group: str = "yyyymm",
         return df.withColumns(done).drop(*spare)
 
     keys = [asset, group]
+    df = materialise(df, "features")
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     long = long.unpivot(keys, cols, "_feature", "_value")
     wide_section = Section(section.groups * len(cols), section.largest)
     ranked = rank_within(long, [group, "_feature"], "_value", tie=asset, section=wide_section,
-                         average="_r", size="_n", row_limit=row_limit)
+                         average="_r", size="_n", row_limit=row_limit, stored=True)
     ranked = ranked.select(*keys, "_feature", _to_unit(F.col("_r"), F.col("_n"), fill).alias("_u"))
     wide = ranked.groupBy(*keys).pivot("_feature", cols).agg(F.first("_u"))
     return df.drop(*cols).join(wide, keys).select(*df.columns)

@@ -29,7 +29,7 @@ def unpivot_signals(firms: DataFrame, signals: list[str], start: int = 192601,
 
 
 def decile_book(values: DataFrame, section: Section | None = None, n_quantiles: int = 10,
-                row_limit: int | None = None) -> DataFrame:
+                row_limit: int | None = None, stored: bool = False) -> DataFrame:
     """Equal-weighted long-short extreme-quantile book with gross exposure 2.
 
     Boundaries compare integers (rank*q against n), so they cannot slip by a
@@ -39,7 +39,7 @@ def decile_book(values: DataFrame, section: Section | None = None, n_quantiles:
     section = section or measure(values, keys)
     q = n_quantiles
     ranked = rank_within(values, keys, "value", tie="permno", section=section,
-                         ordinal="_r", size="_n", row_limit=row_limit)
+                         ordinal="_r", size="_n", row_limit=row_limit, stored=stored)
     r, n = F.col("_r"), F.col("_n")
     side = F.when(r * q > n * (q - 1), 1.0).when(r * q <= n, -1.0).otherwise(0.0)
     held = n - F.floor(n * (q - 1) / q) + F.floor(n / q)

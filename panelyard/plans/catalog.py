@@ -6,6 +6,7 @@ once per session and source version, as the pipeline itself does between its ste
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -24,8 +25,10 @@ from panelyard.plans.oracle import drawdowns, performance, r, statement, t_stat
 from panelyard.plans.panel import build_panel
 from panelyard.plans.walk_forward import run_walk_forward
 from panelyard.sources import driver_tables as src
-from panelyard.sources.files import build_factors, header_of, signals_csv_to_parquet
-from panelyard.sources.store import materialise, stage_dir
+from panelyard.sources.files import (DOC_FIELDS, build_factors, load_metadata, long_short_returns,
+                                     read_factor_text, read_portfolio_returns,
+                                     signals_csv_to_parquet)
+from panelyard.sources.store import materialise, stage_dir, write_stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,8 +84,8 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     key = (spark.sparkContext.applicationId, stage_dir(spark), sf_dir, name,
            _version(spark, sf_dir, ("lineitem", "supplier")))
     if key not in _stages:
-        df = materialise(build(), name)
-        _stages[key] = (df.inputFiles()[0].rsplit("/", 1)[0], df.schema)
+        df = build()
+        _stages[key] = (write_stage(df, name), df.schema)
     path, schema = _stages[key]
     return spark.read.schema(schema).parquet(path)
 
@@ -98,7 +101,8 @@ def deciles(spark, sf_dir) -> DataFrame:
     firms = stage(spark, sf_dir, "firms", lambda: src.firm_signals(spark, sf_dir))
     months = measure(firms, ["yyyymm"])
     values = turnover.unpivot_signals(firms, list(src.SIGNALS))
-    return turnover.decile_book(values, Section(months.groups * len(src.SIGNALS), months.largest))
+    return turnover.decile_book(values, Section(months.groups * len(src.SIGNALS), months.largest),
+                                stored=True)
 
 
 def panel_stage(spark, sf_dir, min_quantity: float | None = None) -> DataFrame:
@@ -160,9 +164,66 @@ _SIG = ("sig_disc", "sig_price", "sig_qty", "sig_tax")
                  CAST(sig_tax AS FLOAT) AS sig_tax FROM firm)""")
 def signals_csv_source(spark, sf_dir):
     wide = src.firm_signals(spark, sf_dir).withColumn("permno", F.col("permno").cast("int"))
-    where = f"{stage_dir(spark)}/signals-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}"
-    wide.write.mode("overwrite").option("header", True).csv(f"{where}.csv")
-    return out(signals_csv_to_parquet(spark, f"{where}.csv", f"{where}.parquet"), digits=3)
+    path = _written(wide, "signals")
+    return out(signals_csv_to_parquet(spark, path, f"{path}.parquet"), digits=3)
+
+
+def _written(df: DataFrame, name: str, fmt: str = "csv") -> str:
+    path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("header", True).format(fmt).save(path)
+    return path
+
+
+@query("portfolio_returns_source", f"""
+    SELECT 'ex_price5' AS universe, signalname, yyyymm, {r('ret', 'log_breadth', digits=7)}
+    FROM rets WHERE ret <> 0""")
+def portfolio_returns_source(spark, sf_dir):
+    """Percent returns with a date string, ``NA`` for missing, other legs mixed in."""
+    df = src.asset_returns(spark, sf_dir)
+    size = F.expm1("log_breadth")
+    legs = F.explode(F.array(F.lit("LS"), F.lit("01")))
+    text = df.select(
+        "signalname", legs.alias("port"),
+        F.format_string("%d-%02d-28", F.floor(F.col("yyyymm") / 100), F.col("yyyymm") % 100)
+        .alias("date"),
+        F.when(F.col("ret") == 0, F.lit("NA")).otherwise((F.col("ret") * 100).cast("string"))
+        .alias("ret"), size.alias("Nlong"), F.lit(0.0).alias("Nshort"))
+    raw = read_portfolio_returns(spark, _written(text, "ports"), "ex_price5")
+    return out(long_short_returns(raw), "universe", "signalname", "yyyymm", "ret", "log_breadth",
+               digits=7)
+
+
+@query("metadata_source", f"""
+    SELECT signalname, pub_year, sample_start_year, sample_end_year, holding_months, stock_weight,
+           cat_economic, {r('orig_tstat', 'orig_ret')} FROM meta""")
+def metadata_source(spark, sf_dir):
+    df = src.metadata(spark, sf_dir)
+    back = {v: k for k, v in DOC_FIELDS.items()}
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(back[c])
+                       for c in df.columns])
+    raw = spark.read.option("header", True).csv(_written(text, "doc"))
+    return out(load_metadata(raw), "signalname", "pub_year", "sample_start_year",
+               "sample_end_year", "holding_months", "stock_weight", "cat_economic", "orig_tstat",
+               "orig_ret")
+
+
+@query("factor_text_source", f"""
+    SELECT yyyymm, {r("CAST(printf('%.6f', mktrf * 100) AS DOUBLE) / 100>mktrf",
+                      "CASE WHEN smb > 0 THEN CAST(printf('%.6f', smb * 100) AS DOUBLE) / 100 END>smb")}
+    FROM factors WHERE yyyymm < 200000""")
+def factor_text_source(spark, sf_dir):
+    """Stacked tables with a prose header; missing coded -99.99; later block ignored."""
+    smb = F.when(F.col("smb") > 0, F.col("smb") * 100).otherwise(-99.99)
+    line = F.format_string("%d, %.6f, %.6f", F.col("yyyymm"), F.col("mktrf") * 100, smb)
+    rows = src.factors(spark, sf_dir).select("yyyymm", line.alias("value"))
+    gap = F.col("yyyymm") >= 200000
+    head = spark.createDataFrame(
+        [(0, "Made from line items; percent per month."), (1, ",Mkt-RF,SMB")], "k int, value string")
+    body = rows.select(F.when(gap, F.col("yyyymm") + 1).otherwise(F.col("yyyymm")).alias("k"), "value")
+    blank = spark.createDataFrame([(200000, "")], "k int, value string")
+    text = head.unionByName(body).unionByName(blank)  # one line per month
+    path = _written(text.orderBy("k").coalesce(1).select("value"), "factors", "text")
+    return out(read_factor_text(spark, path))
 
 
 @query("asset_returns", f"SELECT signalname, yyyymm, {r('ret', 'log_breadth')} FROM rets")
@@ -579,6 +640,16 @@ def oos_r2(spark, sf_dir):
     return out(df)
 
 
+@query("scale_to_target", f"""
+    SELECT model, signalname, yyyymm, {r('my + beta * (score - mx)>fitted')}
+    FROM preds JOIN (SELECT model, avg(score) AS mx, avg(ret_next) AS my,
+                            regr_slope(ret_next, score) AS beta FROM preds GROUP BY model)
+         USING (model)""")
+def scale_to_target(spark, sf_dir):
+    df = inference.scale_to_target(prediction_stage(spark, sf_dir), models=len(MODELS))
+    return out(df, "model", "signalname", "yyyymm", "fitted")
+
+
 @query("newey_west", f"""
     SELECT model, scheme, {r('t', digits=6)} FROM ({t_stat('monthly', 'model, scheme', 'turnover')})""")
 def newey_west(spark, sf_dir):
@@ -738,16 +809,6 @@ def _orthogonal_parts() -> dict[str, str]:
     """Three factors by successive projection; the constant comes last, so its
     coefficient is the alpha and its residual gives the HAC weights."""
     parts = {
-        "factors": """
-            SELECT yyyymm, mktrf, smb, hml FROM (
-                SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS yyyymm,
-                       sum(CAST(round(l_discount * 100) AS BIGINT)) / (count(*) * 1e2) - 5e-2 AS mktrf,
-                       sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_discount * 100) AS BIGINT) END)
-                           / (count(CASE WHEN l_returnflag = 'A' THEN 1 END) * 1e2) - 5e-2 AS smb,
-                       sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_discount * 100) AS BIGINT) END)
-                           / (count(CASE WHEN l_returnflag = 'R' THEN 1 END) * 1e2) - 5e-2 AS hml
-                FROM lineitem GROUP BY 1)
-            WHERE mktrf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL""",
         "reg0": """
             SELECT model, yyyymm, net AS y, mktrf AS z1, smb AS x2, hml AS x3, 1e0 AS x4,
                    net - avg(net) OVER (PARTITION BY model) AS yc
@@ -788,7 +849,7 @@ def factor_alpha(spark, sf_dir):
 @query("factor_table", f"""
     SELECT yyyymm, {r('mktrf', 'smb', 'hml', 'umd')} FROM factors LEFT JOIN (
         SELECT yyyymm, avg(ret_next) AS umd FROM preds WHERE model = 'momentum' AND score > 0
-        GROUP BY yyyymm) USING (yyyymm)""", {"factors": _orthogonal_parts()["factors"]})
+        GROUP BY yyyymm) USING (yyyymm)""")
 def factor_table(spark, sf_dir):
     up = prediction_stage(spark, sf_dir).where((F.col("model") == "momentum") & (F.col("score") > 0))
     momentum = up.groupBy("yyyymm").agg(F.avg("ret_next").alias("mom"))
@@ -883,6 +944,16 @@ def capacity_comparison(spark, sf_dir):
     return out(tables.capacity_comparison(economic, "all", "large"), digits=6)
 
 
+@query("capacity_rank_agreement", f"""
+    SELECT {r('corr(ra, rb)>rho')} FROM (
+        SELECT rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb
+        FROM (SELECT model, {_SHARPE} AS a FROM monthly GROUP BY model)
+        JOIN (SELECT model, {_SHARPE} AS b FROM x_monthly GROUP BY model) USING (model))""",
+       _narrow_parts())
+def capacity_rank_agreement(spark, sf_dir):
+    return out(tables.rank_agreement(capacity_comparison(spark, sf_dir), "all", "large"))
+
+
 # -------------------------------------------------------------------- folds
 _FOLD_PARTS = {
     "cal": "SELECT DISTINCT yyyymm, yyyymm // 100 * 12 + yyyymm % 100 AS mi FROM panel",

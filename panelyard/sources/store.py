@@ -36,15 +36,15 @@ def stage_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def materialise(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def write_stage(df: DataFrame, name: str = "stage") -> str:
+    path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once and read it back."""
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, name))
 
 
 def stored(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
