@@ -48,12 +48,18 @@ def _fits(section: Section, row_limit: int | None) -> bool:
 
 
 def with_group_aggs(df: DataFrame, keys, section: Section, row_limit: int | None = None,
-                    **aggs: Column) -> DataFrame:
-    """Add aggregates of each row's group as columns."""
+                    cheap: bool = True, **aggs: Column) -> DataFrame:
+    """Add aggregates of each row's group as columns.
+
+    Wide groups read ``df`` twice; say ``cheap=False`` if it comes out of a shuffle, and
+    it is written first instead of computed again.
+    """
     keys = list(keys)
     if _fits(section, row_limit):
         w = Window.partitionBy(*keys)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    if not cheap:
+        df = materialise(df, "grouped")
     table = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
     return attach(df, table, keys, section.groups)
 
@@ -103,20 +109,18 @@ def _rank_windowed(df, keys, value, tie, average, ordinal, size):
     return df.select("*", *cols)
 
 
-def _position(cuts: Column, x: Column, most: int) -> Column:
-    """Number of sorted ``cuts`` strictly below ``x``, by bisection."""
-    steps = max(1, math.ceil(math.log2(most + 1)) + 1)
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-
-    def halve(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        open_ = s["lo"] < s["hi"]
-        below = open_ & (F.get(cuts, mid) < x)
-        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
-                        F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
+def _with_position(df: DataFrame, most: int) -> DataFrame:
+    """Add ``_pos``, the number of sorted ``_cuts`` strictly below ``_o``.
 
-    bisect = F.aggregate(F.array_repeat(F.lit(0), steps), start, halve)["lo"]
-    return F.when(F.size(cuts) == 0, F.lit(0)).otherwise(bisect)
+    A lower bound by halving steps, one projection per step: array reads past the end
+    are NULL and leave the position alone, and no step needs an interpreted lambda.
+    """
+    df = df.withColumn("_pos", F.lit(0))
+    for power in reversed(range(max(1, math.ceil(math.log2(most + 1))))):
+        jump = F.col("_pos") + 2 ** power
+        df = df.withColumn("_pos", F.when(F.get("_cuts", jump - 1) < F.col("_o"), jump)
+                           .otherwise(F.col("_pos")))
+    return df
 
 
 def _rank_celled(df, keys, order, tie, section, limit, out, size):
@@ -142,8 +146,7 @@ def _rank_celled(df, keys, order, tie, section, limit, out, size):
 
     # Even cells lie between cuts, odd cells hold one repeated value, -1 the NULLs.
     rows = attach(df, plan, keys, section.groups * cells_most)
-    pos = _position(F.col("_cuts"), F.col("_o"), cells_most)
-    rows = rows.withColumn("_pos", pos)
+    rows = _with_position(rows, cells_most)
     hit = F.coalesce(F.get(F.col("_cuts"), F.col("_pos")) == F.col("_o"), F.lit(False))
     rows = rows.withColumn("_cell", F.when(F.col("_o").isNull(), -1)
                            .otherwise(2 * F.col("_pos") + hit.cast("int"))).drop("_pos", "_cuts")

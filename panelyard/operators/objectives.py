@@ -166,7 +166,8 @@ def score_gradient(rows: DataFrame, name: str, *, delta: float = 0.02,
     lasts = F.lead("pos").over(own) == F.col("pos") + 1
     df = df.withColumn("_next", F.when(lasts, F.lead("_pay").over(own)).otherwise(0.0))
     grown = F.col("w") * (1.0 + y)
-    df = agg(df, cell, section, _pull=F.sum(F.col("_next") * grown))
+    df = with_group_aggs(df, cell, section, row_limit, cheap=False,
+                         _pull=F.sum(F.col("_next") * grown))
     live = (1.0 + F.col("_earned")) > 0.1
     ahead = F.col("_next") * (1.0 + y) / F.col("nav") - F.when(
         live, y * F.col("_pull") / (F.col("nav") * F.col("nav"))).otherwise(0.0)

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from panelyard.config import Portfolio
 from panelyard.operators.cross_section import Section, measure, rank_within, with_group_aggs
 from panelyard.operators.universe import require_columns
-from panelyard.sources.store import attach
+from panelyard.sources.store import attach, materialise
 
 SCHEMES = ("equal", "tilt", "neutral", "quantile", "simplex")
+DEEPEST = 2000  # most leading weights of a month held in one row
+MOST_PASSES = 50  # fixed value: the rule stops after this many rounds
 CAPPED = ("tilt", "quantile")  # 1/N never exceeds a feasible cap
 BENCHMARK = "equal_weight"
 
@@ -59,7 +61,8 @@ def allocate(predictions: DataFrame, schemes, pc: Portfolio = Portfolio(), *,
                      ordinal="_ord" if "quantile" in schemes else None, row_limit=row_limit)
     if ranked_by:
         df = df.withColumn("_dev", F.col("_avg") - (F.col("_n") + 1) / 2.0)
-        df = with_group_aggs(df, keys, section, row_limit, _l1=F.sum(F.abs("_dev")))
+        df = with_group_aggs(df, keys, section, row_limit, cheap=False,
+                             _l1=F.sum(F.abs("_dev")))
     if "simplex" in schemes:
         df = with_group_aggs(df, keys, section, row_limit, _top=F.max("score"))
         heat = max(pc.temperature, 1e-8)
@@ -107,14 +110,28 @@ def cap_weights(book: DataFrame, cap: float, *, keys=("model", "scheme", "yyyymm
         return book
 
     depth = max(1, math.ceil(extent["b"] / cap)) + 1
-    rows = attach(chosen.select(*keys, "signalname", "weight"), binding, keys, extent["g"],
-                  how="inner")
+    rows = chosen.select(*keys, "signalname", "weight")
+    if depth > DEEPEST:
+        scales = _scales_by_passes(rows, binding, keys, cap, over, extent["g"])
+    else:
+        scales = _scales_from_tops(rows, binding, keys, cap, over, extent["g"], depth)
+    scaled = w * F.col("_scale")
+    return (attach(book, scales, keys, extent["g"])
+            .withColumn("weight", F.when(F.col("_scale").isNull(), w)
+                        .when(scaled > over, F.lit(float(cap))).otherwise(scaled))
+            .drop("_scale"))
+
+
+def _scales_from_tops(rows, binding, keys, cap, over, groups, depth) -> DataFrame:
+    """Scale per month from its ``depth`` largest weights and the sum below them."""
+    w = F.col("weight")
+    rows = attach(rows, binding, keys, groups, how="inner")
     largest_first = Window.partitionBy(*keys).orderBy(F.desc("weight"))
     tops = (rows.withColumn("_k", F.row_number().over(largest_first))
             .where(F.col("_k") <= depth).groupBy(*keys)
             .agg(F.sort_array(F.collect_list("weight"), asc=False).alias("_top")))
     least = F.element_at("_top", -1)
-    tail = (attach(rows, tops, keys, extent["g"], how="inner").groupBy(*keys).agg(
+    tail = (attach(rows, tops, keys, groups, how="inner").groupBy(*keys).agg(
         F.first("_budget").alias("_budget"), F.first("_top").alias("_top"),
         F.coalesce(F.sum(F.when(w < least, w)), F.lit(0.0)).alias("_below"),
         F.sum((w == least).cast("long")).alias("_same")))
@@ -132,10 +149,28 @@ def cap_weights(book: DataFrame, cap: float, *, keys=("model", "scheme", "yyyymm
                         stop.alias("done"))
 
     start = F.struct(F.lit(0).alias("k"), F.lit(1.0).alias("c"), F.lit(False).alias("done"))
-    scale = F.aggregate(F.array_repeat(F.lit(0), depth + 1), start, step)["c"]
-    scales = tail.select(*keys, scale.alias("_scale"))
-    scaled = w * F.col("_scale")
-    return (attach(book, scales, keys, extent["g"])
-            .withColumn("weight", F.when(F.col("_scale").isNull(), w)
-                        .when(scaled > over, F.lit(float(cap))).otherwise(scaled))
-            .drop("_scale"))
+    passes = F.array_repeat(F.lit(0), min(depth + 1, MOST_PASSES))
+    return tail.select(*keys, F.aggregate(passes, start, step)["c"].alias("_scale"))
+
+
+def _scales_by_passes(rows, binding, keys, cap, over, groups) -> DataFrame:
+    """Same scale when very many names can sit at the cap: one aggregate per pass."""
+    w = F.col("weight")
+    state = materialise(binding.select(
+        *keys, "_budget", F.lit(0).cast("long").alias("_k"), F.lit(1.0).alias("_c"),
+        F.lit(False).alias("_done")), "cap")
+    for _ in range(MOST_PASSES):
+        hit = w * F.col("_c") > over
+        seen = attach(rows, state.where(~F.col("_done")), keys, groups, how="inner")
+        seen = seen.groupBy(*keys).agg(
+            F.count(F.when(hit, 1)).alias("_hits"),
+            F.coalesce(F.sum(F.when(~hit, w)), F.lit(0.0)).alias("_free"))
+        left = F.col("_budget") - F.col("_hits") * cap
+        stop = F.col("_done") | (F.col("_hits") == F.col("_k")) | (F.col("_free") <= 0) | (left <= 0)
+        state = materialise(attach(state, seen, keys, groups).select(
+            *keys, "_budget", F.when(stop, F.col("_k")).otherwise(F.col("_hits")).alias("_k"),
+            F.when(stop, F.col("_c")).otherwise(F.try_divide(left, F.col("_free"))).alias("_c"),
+            stop.alias("_done")), "cap")
+        if state.where(~F.col("_done")).isEmpty():
+            break
+    return state.select(*keys, F.col("_c").alias("_scale"))

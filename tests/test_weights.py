@@ -91,7 +91,9 @@ def as_book(spark, months):
         rows, "model string, scheme string, yyyymm int, signalname string, weight double")
 
 
-def test_cap_matches_the_iterative_rule(spark):
+@pytest.mark.parametrize("deepest", [2000, 1])
+def test_cap_matches_the_iterative_rule(spark, monkeypatch, deepest):
+    monkeypatch.setattr(W, "DEEPEST", deepest)
     rng = np.random.default_rng(3)
     months = [np.array([.5, .3, .15, .05]), np.array([.4, .35, .25]),
               np.array([.5, .5, 0, 0, 0, 0.]), np.array([.6, .6, .1, .1, -.4])]
