@@ -142,7 +142,8 @@ def _rank_celled(df, keys, order, tie, section, limit, out, size):
              )).alias("_cuts")))
     plan = attach(sizes, picks, keys, section.groups)
     empty = F.array_compact(F.array(F.lit(None).cast(df.schema["_o"].dataType)))
-    plan = plan.select(*keys, "_live", F.coalesce("_cuts", empty).alias("_cuts"))
+    plan = materialise(plan.select(*keys, "_live", F.coalesce("_cuts", empty).alias("_cuts")),
+                       "cuts")
 
     # Even cells lie between cuts, odd cells hold one repeated value, -1 the NULLs.
     rows = attach(df, plan, keys, section.groups * cells_most)
@@ -152,7 +153,8 @@ def _rank_celled(df, keys, order, tie, section, limit, out, size):
                            .otherwise(2 * F.col("_pos") + hit.cast("int"))).drop("_pos", "_cuts")
 
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (rows.where(F.col("_cell") >= 0).groupBy(*keys, "_cell")
+    # Filtering on _cell itself would copy the nested lookup into a scan predicate.
+    counts = (rows.where(F.col("_o").isNotNull()).groupBy(*keys, "_cell")
               .agg(F.count(F.lit(1)).alias("_m"))
               .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))))
     rows = attach(rows, counts, [*keys, "_cell"], section.groups * 2 * cells_most)

@@ -12,6 +12,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from panelyard.config import Costs, Portfolio, Settings, Split, Training, Universe
 from panelyard.functions.months import month_index
@@ -83,9 +84,14 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     """A stage table, rebuilt in a new session or when a source file changed."""
     key = (spark.sparkContext.applicationId, stage_dir(spark), sf_dir, name,
            _version(spark, sf_dir, ("lineitem", "supplier")))
-    if key not in _stages:
-        df = build()
-        _stages[key] = (write_stage(df, name), df.schema)
+    if key in _stages:
+        path, schema = _stages[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the shared folder was cleared
+            del _stages[key]
+    df = build()
+    _stages[key] = (write_stage(df, name), df.schema)
     path, schema = _stages[key]
     return spark.read.schema(schema).parquet(path)
 
