@@ -110,66 +110,66 @@ def _rank_windowed(df, keys, value, tie, average, ordinal, size):
 
 
 def _with_position(df: DataFrame, most: int) -> DataFrame:
-    """Add ``_pos``, the number of sorted ``_cuts`` strictly below ``_o``.
+    """Add ``__pos``, the number of sorted ``__cuts`` strictly below ``__o``.
 
     A lower bound by halving steps, one projection per step: array reads past the end
     are NULL and leave the position alone, and no step needs an interpreted lambda.
     """
-    df = df.withColumn("_pos", F.lit(0))
+    df = df.withColumn("__pos", F.lit(0))
     for power in reversed(range(max(1, math.ceil(math.log2(most + 1))))):
-        jump = F.col("_pos") + 2 ** power
-        df = df.withColumn("_pos", F.when(F.get("_cuts", jump - 1) < F.col("_o"), jump)
-                           .otherwise(F.col("_pos")))
+        jump = F.col("__pos") + 2 ** power
+        df = df.withColumn("__pos", F.when(F.get("__cuts", jump - 1) < F.col("__o"), jump)
+                           .otherwise(F.col("__pos")))
     return df
 
 
 def _rank_celled(df, keys, order, tie, section, limit, out, size):
     cells_most = math.ceil(section.largest / limit)
-    df = df.withColumn("_o", order)
+    df = df.withColumn("__o", order)
 
-    sizes = df.groupBy(*keys).agg(F.count("_o").alias("_live"))
-    sizes = sizes.withColumn("_parts", F.ceil(F.col("_live") / limit).cast("int"))
+    sizes = df.groupBy(*keys).agg(F.count("__o").alias("__live"))
+    sizes = sizes.withColumn("__parts", F.ceil(F.col("__live") / limit).cast("int"))
 
-    draw = F.pmod(F.xxhash64(F.col(tie), *[F.col(k) for k in keys]), F.col("_live"))
-    sample = (attach(df.select(*keys, tie, "_o"), sizes, keys, section.groups)
-              .where((F.col("_parts") > 1) & F.col("_o").isNotNull())
-              .where(draw < F.col("_parts") * SAMPLES_PER_CELL))
+    draw = F.pmod(F.xxhash64(F.col(tie), *[F.col(k) for k in keys]), F.col("__live"))
+    sample = (attach(df.select(*keys, tie, "__o"), sizes, keys, section.groups)
+              .where((F.col("__parts") > 1) & F.col("__o").isNotNull())
+              .where(draw < F.col("__parts") * SAMPLES_PER_CELL))
     picks = (sample.groupBy(*keys)
-             .agg(F.array_sort(F.collect_list("_o")).alias("_s"), F.max("_parts").alias("_p"))
+             .agg(F.array_sort(F.collect_list("__o")).alias("__s"), F.max("__parts").alias("__p"))
              .select(*keys, F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.col("_p") - 1),
-                 lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / F.col("_p")).cast("int")),
-             )).alias("_cuts")))
+                 F.sequence(F.lit(1), F.col("__p") - 1),
+                 lambda i: F.get(F.col("__s"), F.floor(i * F.size("__s") / F.col("__p")).cast("int")),
+             )).alias("__cuts")))
     plan = attach(sizes, picks, keys, section.groups)
-    empty = F.array_compact(F.array(F.lit(None).cast(df.schema["_o"].dataType)))
-    plan = materialise(plan.select(*keys, "_live", F.coalesce("_cuts", empty).alias("_cuts")),
+    empty = F.array_compact(F.array(F.lit(None).cast(df.schema["__o"].dataType)))
+    plan = materialise(plan.select(*keys, "__live", F.coalesce("__cuts", empty).alias("__cuts")),
                        "cuts")
 
     # Even cells lie between cuts, odd cells hold one repeated value, -1 the NULLs.
     rows = attach(df, plan, keys, section.groups * cells_most)
     rows = _with_position(rows, cells_most)
-    hit = F.coalesce(F.get(F.col("_cuts"), F.col("_pos")) == F.col("_o"), F.lit(False))
-    rows = rows.withColumn("_cell", F.when(F.col("_o").isNull(), -1)
-                           .otherwise(2 * F.col("_pos") + hit.cast("int"))).drop("_pos", "_cuts")
-
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    # Filtering on _cell itself would copy the nested lookup into a scan predicate.
-    counts = (rows.where(F.col("_o").isNotNull()).groupBy(*keys, "_cell")
-              .agg(F.count(F.lit(1)).alias("_m"))
-              .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))))
-    rows = attach(rows, counts, [*keys, "_cell"], section.groups * 2 * cells_most)
-
-    lone = F.col("_cell") % 2 != 0
+    hit = F.coalesce(F.get(F.col("__cuts"), F.col("__pos")) == F.col("__o"), F.lit(False))
+    rows = rows.withColumn("__cell", F.when(F.col("__o").isNull(), -1)
+                           .otherwise(2 * F.col("__pos") + hit.cast("int"))).drop("__pos", "__cuts")
+
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    # Filtering on __cell itself would copy the nested lookup into a scan predicate.
+    counts = (rows.where(F.col("__o").isNotNull()).groupBy(*keys, "__cell")
+              .agg(F.count(F.lit(1)).alias("__m"))
+              .withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0))))
+    rows = attach(rows, counts, [*keys, "__cell"], section.groups * 2 * cells_most)
+
+    lone = F.col("__cell") % 2 != 0
     salt = F.when(lone, F.pmod(F.xxhash64(F.col(tie)), F.lit(4 * cells_most))).otherwise(F.lit(0))
-    rows = rows.withColumn("_salt", salt)
-    w = Window.partitionBy(*keys, "_cell", "_salt").orderBy("_o")
-    upto = F.count("_o").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = F.when(lone, (F.col("_m") + 1) / 2.0).otherwise((F.rank().over(w) + upto) / 2.0)
+    rows = rows.withColumn("__salt", salt)
+    w = Window.partitionBy(*keys, "__cell", "__salt").orderBy("__o")
+    upto = F.count("__o").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    local = F.when(lone, (F.col("__m") + 1) / 2.0).otherwise((F.rank().over(w) + upto) / 2.0)
     if out:
-        rows = rows.withColumn(out, F.when(F.col("_o").isNotNull(), F.col("_before") + local))
+        rows = rows.withColumn(out, F.when(F.col("__o").isNotNull(), F.col("__before") + local))
     if size:
-        rows = rows.withColumn(size, F.col("_live"))
-    return rows.drop("_o", "_live", "_cell", "_m", "_before", "_salt")
+        rows = rows.withColumn(size, F.col("__live"))
+    return rows.drop("__o", "__live", "__cell", "__m", "__before", "__salt")
 
 
 def group_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], *, tie: str,

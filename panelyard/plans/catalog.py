@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,14 +100,14 @@ def turnover_stage(spark, sf_dir) -> DataFrame:
                  lambda: turnover.causal_turnover(turnover.turnover_series(deciles(spark, sf_dir))))
 
 
-def deciles(spark, sf_dir) -> DataFrame:
+def deciles(spark, sf_dir, row_limit: int | None = None) -> DataFrame:
     """Decile books of all signals. The wide firm table is kept; its long form is only
     ever streamed, and a month's rows bound every signal's cross-section."""
     firms = stage(spark, sf_dir, "firms", lambda: src.firm_signals(spark, sf_dir))
     months = measure(firms, ["yyyymm"])
     values = turnover.unpivot_signals(firms, list(src.SIGNALS))
     return turnover.decile_book(values, Section(months.groups * len(src.SIGNALS), months.largest),
-                                stored=True)
+                                stored=True, row_limit=row_limit)
 
 
 def panel_stage(spark, sf_dir, min_quantity: float | None = None) -> DataFrame:
@@ -216,18 +215,22 @@ def metadata_source(spark, sf_dir):
 @query("factor_text_source", f"""
     SELECT yyyymm, {r("CAST(printf('%.6f', mktrf * 100) AS DOUBLE) / 100>mktrf",
                       "CASE WHEN smb > 0 THEN CAST(printf('%.6f', smb * 100) AS DOUBLE) / 100 END>smb")}
-    FROM factors WHERE yyyymm < 200000""")
+    FROM factors""")
 def factor_text_source(spark, sf_dir):
     """Stacked tables with a prose header; missing coded -99.99; later block ignored."""
-    smb = F.when(F.col("smb") > 0, F.col("smb") * 100).otherwise(-99.99)
-    line = F.format_string("%d, %.6f, %.6f", F.col("yyyymm"), F.col("mktrf") * 100, smb)
-    rows = src.factors(spark, sf_dir).select("yyyymm", line.alias("value"))
-    gap = F.col("yyyymm") >= 200000
-    head = spark.createDataFrame(
-        [(0, "Made from line items; percent per month."), (1, ",Mkt-RF,SMB")], "k int, value string")
-    body = rows.select(F.when(gap, F.col("yyyymm") + 1).otherwise(F.col("yyyymm")).alias("k"), "value")
-    blank = spark.createDataFrame([(200000, "")], "k int, value string")
-    text = head.unionByName(body).unionByName(blank)  # one line per month
+    def lines(df, key):
+        smb = F.when(F.col("smb") > 0, F.col("smb") * 100).otherwise(-99.99)
+        text = F.format_string("%d, %.6f, %.6f", F.col(key), F.col("mktrf") * 100, smb)
+        return df.select(F.col(key).cast("int").alias("k"), text.alias("value"))
+
+    monthly = src.factors(spark, sf_dir).select("yyyymm", "mktrf", "smb")
+    yearly = monthly.groupBy(F.floor(F.col("yyyymm") / 100).alias("year")).agg(
+        F.avg("mktrf").alias("mktrf"), F.avg("smb").alias("smb"))
+    fixed = spark.createDataFrame(
+        [(0, "Made from line items; percent per month."), (1, ",Mkt-RF,SMB"), (300000, ""),
+         (300001, "Annual averages"), (300002, ",Mkt-RF,SMB")], "k int, value string")
+    later = lines(yearly, "year").withColumn("k", F.col("k") + 300003)
+    text = fixed.unionByName(lines(monthly, "yyyymm")).unionByName(later)  # a line per month
     path = _written(text.orderBy("k").coalesce(1).select("value"), "factors", "text")
     return out(read_factor_text(spark, path))
 
@@ -430,6 +433,13 @@ def decile_book(spark, sf_dir):
                "u", "w")
 
 
+@query("decile_book_cells", f"SELECT signalname, permno, yyyymm, {r('side', 'u', 'w')} FROM dbook")
+def decile_book_cells(spark, sf_dir):
+    """Ranks through cells, forced by a small row limit."""
+    return out(deciles(spark, sf_dir, row_limit=100), "signalname", "permno", "yyyymm", "side",
+               "u", "w")
+
+
 @query("decile_turnover", f"""
     SELECT signalname, yyyymm, {r('turnover', 'rank_autocorr', digits=7)}
     FROM dturn LEFT JOIN dcorr USING (signalname, mi)""")
@@ -685,6 +695,19 @@ def economic_table(spark, sf_dir):
                *_PERF, digits=6)
 
 
+@query("economic_table_schemes", f"""
+    SELECT model, scheme, n_months, {r(*_PERF, digits=6)} FROM s_econ""",
+       {"sbook": "SELECT * FROM w_tilt UNION ALL SELECT * FROM w_neutral UNION ALL "
+                 "SELECT * FROM w_quantile UNION ALL SELECT * FROM w_equal"}
+       | oracle._accounting("sbook", "s") | {"s_econ": performance("smonthly", "model, scheme")})
+def economic_table_schemes(spark, sf_dir):
+    book = materialise(tables.weight_book(
+        prediction_stage(spark, sf_dir), SETTINGS, schemes=("tilt", "neutral", "quantile"),
+        benchmark_of=BENCH_OF), "book")
+    monthly = materialise(tables.monthly_results(book, SETTINGS), "monthly")
+    return out(tables.economic_table(monthly), "model", "scheme", "n_months", *_PERF, digits=6)
+
+
 @query("top_models", f"""
     SELECT model, {r('sharpe_net', digits=6)} FROM econ WHERE model <> 'equal_weight'
     ORDER BY sharpe_net DESC, model LIMIT 2""", _ECON)
@@ -1216,12 +1239,10 @@ def _feature_panel(spark, sf_dir):
 
 @query("walk_forward_all_baselines")
 def walk_forward_all_baselines(spark, sf_dir):
-    """Every baseline on the last fold; iterative fits have no SQL form."""
+    """Every baseline on every fold; iterative fits have no SQL form."""
     panel, names = _feature_panel(spark, sf_dir)
     specs = [learners.ModelSpec(n) for n in learners.BASELINES]
-    split = replace(SETTINGS.split, first_test_year=2001)
-    preds, _, _ = run_walk_forward(panel, names, replace(SETTINGS, split=split), specs,
-                                   gbrt_iterations=5)
+    preds, _, _ = run_walk_forward(panel, names, SETTINGS, specs, gbrt_iterations=5)
     return out(preds, "signalname", "yyyymm", "fold", "model", "score")
 
 

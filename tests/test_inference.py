@@ -126,3 +126,38 @@ def test_rounded_tables_and_top_rows(spark):
     assert tables.rounded(df).first()["vol"] == 1.2346
     imp = df.withColumnRenamed("vol", "importance")
     assert tables.top_importance(imp, 1).first()["feature"] == "b"
+
+
+def test_ic_is_the_same_through_cells(spark):
+    rng = np.random.default_rng(8)
+    df = pd.DataFrame({"model": "m", "yyyymm": np.repeat(months_from(200001, 5), 80),
+                       "signalname": [f"A{i:03d}" for i in range(80)] * 5,
+                       "score": rng.integers(0, 9, 400).astype(float),
+                       "ret_next": rng.normal(size=400)})
+    table = spark.createDataFrame(df)
+    want = df.groupby("yyyymm")[["score", "ret_next"]].apply(
+        lambda g: g["score"].rank().corr(g["ret_next"].rank()))
+    for limit in (None, 10):
+        got = I.monthly_ic(table, row_limit=limit).toPandas().set_index("yyyymm")["ic"]
+        np.testing.assert_allclose(got.sort_index(), want)
+
+
+def test_cost_quintiles_match_equal_frequency_cuts(spark):
+    """Month n holds n assets, for every n a cross-section may have."""
+    rng = np.random.default_rng(9)
+    parts = []
+    for n in range(5, 70):
+        parts.append(pd.DataFrame({"yyyymm": n, "signalname": [f"A{i:03d}" for i in range(n)],
+                                   "weight": rng.normal(size=n), "n": n,
+                                   "turnover_raw": rng.permutation(n).astype(float)}))
+    df = pd.concat(parts)
+    cut = df.groupby("yyyymm")["turnover_raw"].transform(
+        lambda s: pd.qcut(s.rank(method="first"), 5, labels=False) + 1)
+    want = df.assign(q=cut, tilt=df["weight"] - 1 / df["n"]).groupby("q").agg(
+        n=("tilt", "size"), tilt=("tilt", "mean"))
+    book = spark.createDataFrame(df.assign(model="m", scheme="tilt"))
+    for limit in (None, 10):
+        got = tables.tilt_by_cost_quintile(book, "m", row_limit=limit).toPandas()
+        got = got.set_index("cost_quintile").sort_index()
+        assert list(got["n"]) == list(want["n"])
+        np.testing.assert_allclose(got["mean_tilt"], want["tilt"])
