@@ -1158,7 +1158,7 @@ def objective_raw_weights(spark, sf_dir):
 
 
 @query("evaluate_objective", f"""
-    SELECT sum(n_months) AS n_months, {r('sum(loss * n_months) / sum(n_months)>loss', digits=7)}
+    SELECT CAST(sum(n_months) AS BIGINT) AS n_months, {r('sum(loss * n_months) / sum(n_months)>loss', digits=7)}
     FROM ({_OBJ_SQL['sharpe']})""", _OBJ_PARTS)
 def evaluate_objective(spark, sf_dir):
     rows = objective_rows(spark, sf_dir)

@@ -65,23 +65,21 @@ def test_unknown_scheme_and_missing_columns(spark):
         W.allocate(df.drop("score"), ["tilt"])
 
 
-def cap_loop(w, cap, budget):
-    """The rule, pass by pass."""
-    w = w.copy()
-    if len(w) * cap <= budget + 1e-9:
-        return w
-    free = np.ones(len(w), bool)
-    for _ in range(60):
-        hit = free & (w > cap + 1e-12)
-        if not hit.any():
-            break
-        w[hit] = cap
-        free &= ~hit
-        left, rest = budget - w[~free].sum(), w[free].sum()
-        if rest <= 0 or left <= 0:
-            break
-        w[free] *= left / rest
-    return w
+def cap_by_sets(w, cap, budget):
+    """Grow the set of names over the cap until scaling the others adds none."""
+    scale, over = 1.0, set()
+    if len(w) * cap > budget + 1e-9:
+        while True:
+            now = {i for i, v in enumerate(w) if v * scale > cap + 1e-12}
+            if now == over:
+                break
+            over = now
+            rest = sum(v for i, v in enumerate(w) if i not in over)
+            left = budget - cap * len(over)
+            if rest <= 0 or left <= 0:
+                break
+            scale = left / rest
+    return np.array([cap if i in over else v * scale for i, v in enumerate(w)])
 
 
 def as_book(spark, months):
@@ -108,7 +106,7 @@ def test_cap_matches_the_iterative_rule(spark, monkeypatch, deepest):
         got = W.cap_weights(as_book(spark, months), cap).toPandas()
         for t, w in enumerate(months):
             mine = got[got["yyyymm"] == t].sort_values("signalname")["weight"].to_numpy()
-            np.testing.assert_allclose(mine, cap_loop(w, cap, w.sum()), atol=1e-9, err_msg=str(t))
+            np.testing.assert_allclose(mine, cap_by_sets(w, cap, w.sum()), atol=1e-9, err_msg=str(t))
 
 
 def test_cap_micro_cases(spark):
