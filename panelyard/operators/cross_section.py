@@ -87,7 +87,8 @@ def rank_within(df: DataFrame, keys, value: str, *, tie: str, section: Section,
         df = _rank_celled(df, keys, F.col(value), tie, section, limit, average, size)
         size = None
     if ordinal:
-        order = F.when(F.col(value).isNotNull(), F.struct(F.col(value), F.col(tie)))
+        pair = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))
+        order = F.when(F.col(value).isNotNull(), pair)
         df = _rank_celled(df, keys, order, tie, section, limit, ordinal, size)
         df = df.withColumn(ordinal, F.col(ordinal).cast("long"))
     return df
