@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import bpe, simhash, token_counts
+from panelyard.llm import bpe, chat, mixing, pii, quality, simhash, token_counts
 from panelyard.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,29 @@ def op2_byte_bpe(spark, sf_dir):
 @query
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+@query
+def op6_chat_format(spark, sf_dir):
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", chat.CONTROL_SAMPLE), (-1, 1, "assistant", chat.CONTROL_SAMPLE)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.format_conversations(said.unionByName(more)))
+
+
+@query
+def op10_source_mix(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
+@query
+def op5_private_data(spark, sf_dir):
+    return pii.digests(pii.find(documents(spark, sf_dir)))

@@ -89,3 +89,28 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if new.where("root <> was").limit(1).count() == 0:
             return new.select("node", "root")
         labels = new.select("node", "root")
+
+
+def with_starts(df: DataFrame, sizes: str, starts: str) -> DataFrame:
+    """Add the running sums before each element of an array column.
+
+    Two levels, so that a long array is not copied once for each of its elements.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def running(xs, base):
+        state = F.struct(base.alias("p"), none.alias("out"))
+        return F.aggregate(xs, state, lambda a, x: F.struct(
+            (a["p"] + x).alias("p"), F.concat(a["out"], F.array(a["p"])).alias("out")))["out"]
+
+    n = F.size(sizes)
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(n / 256).cast("int") - 1),
+                      lambda c: F.transform(F.slice(F.col(sizes), c * 256 + 1, 256),
+                                            lambda x: x.cast("long")))
+    chunks = F.when(n > 0, cut).otherwise(F.array().cast("array<array<bigint>>"))
+    out = df.withColumn("_chunks", chunks)
+    out = out.withColumn("_sums", F.transform("_chunks", lambda c: F.aggregate(
+        c, zero, lambda s, x: s + x)))
+    out = out.withColumn("_bases", running(F.col("_sums"), zero))
+    return out.withColumn(starts, F.flatten(F.zip_with("_chunks", "_bases", running))).drop(
+        "_chunks", "_sums", "_bases")
