@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import bpe, chat, mixing, pii, quality, simhash, token_counts
+from panelyard.llm import (bpe, chat, fingerprint, langid, mixing, passages, pii, quality,
+                            simhash, token_counts)
 from panelyard.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,18 @@ def op10_source_mix(spark, sf_dir):
 @query
 def op5_private_data(spark, sf_dir):
     return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
+@query
+def op4_prefix_fingerprints(spark, sf_dir):
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op7_repeated_passages(spark, sf_dir):
+    return passages.repeated_passages(documents(spark, sf_dir))
