@@ -213,16 +213,16 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def slices(batch, limit: int = AT_ONCE):
-    """Parts of an Arrow batch whose texts (column 1) are short together."""
-    ends = np.cumsum(np.array(batch.column(1).cast(pa.large_binary()).to_pandas().str.len()
+def slices(batch, limit: int = AT_ONCE, at: int = 1):
+    """Parts of an Arrow batch whose texts (column ``at``) are short together."""
+    ends = np.cumsum(np.array(batch.column(at).cast(pa.large_binary()).to_pandas().str.len()
                               if len(batch) else [], dtype=np.int64))
-    at = 0
-    while at < len(batch):
-        start = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, start + limit, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
+    begin = 0
+    while begin < len(batch):
+        start = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, start + limit, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 #: Column -> its type, in the order they are returned.

@@ -17,7 +17,7 @@ rows are documents of their own; reruns agree, whatever the partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.quality import BLANKS
@@ -33,13 +33,18 @@ CHUNK = 4096               # slots ranked together
 PREFIX_ROWS = 1_000_000    # documents up to which two digits of the digest make buckets
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """A document's place in the shuffle of its source."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), text))
+
+
 def sized(df: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """(doc_id, source, size, h): words of each document, and its place in the shuffle."""
     docs = documents(df, id_col, text_col, source=source_col)
     text = F.coalesce("text", F.lit(""))
     body = F.btrim(text, F.lit(BLANKS))
     size = F.when(body == "", 0).otherwise(F.size(F.split(body, GAPS))).cast("long")
-    mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text))
+    mark = place(F.col("doc_id"), text)
     return docs.select("doc_id", "source", size.alias("size"), mark.alias("h"))
 
 
@@ -79,7 +84,7 @@ def streams(docs: DataFrame, digits: int) -> DataFrame:
     placed = cut.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))
     return placed.join(sums, on).withColumn("start", F.col("base") + F.col("ahead")).drop(
-        "_s", "_b", "base", "ahead", "bucket", "h")
+        "_s", "_b", "base", "ahead", "bucket")
 
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -122,7 +127,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         *, weights=WEIGHTS, share=SHARE, repeats=REPEATS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), one row per input row."""
+    """(doc_id, source, size, source_size, target, taken, h), one row per input row."""
     docs = materialise(sized(df, id_col, text_col, source_col), "mix-sizes")
     digits = 2 if docs.count() <= PREFIX_ROWS else 3
     targets = materialise(source_targets(docs, weights, share, repeats), "mix-targets")
@@ -148,4 +153,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         F.col("size") > 0)
     return placed.join(taken, on, "left").select(
         "doc_id", "source", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "h")
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               source_col: str = "source", **params) -> DataFrame:
+    """The rows as often as the mix takes them, all columns as they are.
+
+    A row comes round(taken / size) times, which is 0 to ``repeats``.
+    """
+    taken = mix(df, id_col, text_col, source_col, **params).groupBy("h").agg(
+        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0")
+    mark = place(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = df.withColumn("_h", mark).join(taken.withColumnRenamed("h", "_h"), "_h")
+    again = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")
+    return rows.select(*[F.col(c) for c in df.columns], again).drop("_again")

@@ -272,3 +272,13 @@ def mask(text: Column, spans: Column) -> Column:
     done = F.aggregate(order, zero, step, lambda a: F.concat(a["out"], F.substring(
         text, a["at"].cast("int") + 1, F.greatest(F.length(text) - a["at"], F.lit(0)).cast("int"))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def masked_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns as they are, personal data in the text replaced by its kind."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    by = dict(zip(df.columns, names))
+    found = find(df.toDF(*names), by[id_col], by[text_col], keep=tuple(names))
+    clean = F.when(F.col(by[text_col]).isNotNull(), mask(F.col("text"), F.col("spans")))
+    return found.select(*[clean.alias(n) if c == text_col else F.col(n)
+                          for c, n in by.items()]).toDF(*df.columns)

@@ -58,7 +58,7 @@ def op6_chat_format(spark, sf_dir):
 
 @query
 def op10_source_mix(spark, sf_dir):
-    return mixing.mix(documents(spark, sf_dir)).drop("source")
+    return mixing.mix(documents(spark, sf_dir)).drop("source", "h")
 
 
 @query

@@ -140,3 +140,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(classes, "fp").select(
         "doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns as they are: the one that names it.
+
+    Rows of one identifier are one document. A component without any identifier keeps one row of its
+    smallest fingerprint.
+    """
+    found = materialise(near_duplicates(df, id_col, text_col), "simhash-found")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = df.join(keep, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns)
+    nameless = found.where("component_id is null").select("fp")
+    labels = connected(links(nameless.distinct())).withColumnRenamed("node", "fp")
+    first = nameless.distinct().join(labels, "fp", "left").where(
+        F.col("root").isNull() | (F.col("root") == F.col("fp"))).select("fp")
+    rest = df.where(F.col(id_col).isNull())
+    names = [f"c{i}" for i in range(len(df.columns))]
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    at = rest.select(F.struct(*[F.col(c).alias(n) for c, n in zip(df.columns, names)])
+                     .alias("doc_id"), raw.alias("raw"))
+    prints = at.mapInArrow(_fingerprint_batches, out_schema(at, "fp long"))
+    unnamed = prints.join(first, "fp", "left_semi").dropDuplicates(["fp"]).select("doc_id.*")
+    return named.unionByName(unnamed.toDF(*df.columns))
