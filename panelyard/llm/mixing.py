@@ -163,7 +163,7 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row comes round(taken / size) times, which is 0 to ``repeats``.
     """
     taken = mix(df, id_col, text_col, source_col, **params).groupBy("h").agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0")
+        F.coalesce(F.round(F.try_divide(F.sum("taken"), F.sum("size"))), F.lit(0)).cast("int").alias("_times")).where("_times > 0")
     mark = place(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = df.withColumn("_h", mark).join(taken.withColumnRenamed("h", "_h"), "_h")
     again = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")
