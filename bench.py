@@ -1,7 +1,7 @@
 """Headline queries on local[$BENCH_CPUS]; prints one JSON line.
 
-Stage tables are cleared before each stage-building query, so ``panel`` and
-``turnover`` are measured from raw tables; the queries below them read the stages.
+A new session has no stage tables, so ``stage_*`` are measured from raw tables and the
+stages before them; the queries below read the stages.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ HEADLINE = (
     "decile_book", "decile_turnover", "weights_tilt", "cap_weights", "net_accounting",
     "statistical_table", "economic_table", "cost_sensitivity", "alpha_vs_benchmark",
     "factor_alpha", "decay_analysis", "tilt_by_cost", "tilt_by_category", "walk_forward_folds",
-    "densify", "objective_sharpe", "baseline_fits", "ensemble_average",
+    "densify", "objective_sharpe", "baseline_fits", "ensemble_average", "capacity_comparison",
+    "walk_forward_all_baselines", "linear_objective_fit",
 )
 STAGES = {
     "stage_turnover": catalog.turnover_stage, "stage_panel": catalog.panel_stage,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.config import MAX_MONTHS
-from panelyard.functions.scalars import pearson, sharpe
+from panelyard.functions.scalars import finite, pearson, sharpe
 from panelyard.operators.cross_section import Section, measure, rank_within
 from panelyard.sources.store import attach
 
@@ -181,7 +181,14 @@ def subperiod_table(monthly: DataFrame, breaks: tuple[int, ...] = (200001, 20100
 
 # --------------------------------------------------------------- regressions
 def _hac_ols(y: np.ndarray, x: np.ndarray, lags: int):
-    xtx = np.linalg.inv(x.T @ x)
+    """Least squares with HAC t values; terms that the data cannot tell apart are NaN."""
+    scale = np.sqrt((x * x).sum(axis=0))
+    scale[scale == 0] = 1.0
+    values, vectors = np.linalg.eigh((x / scale).T @ (x / scale))
+    live = values > 1e-10 * values.max()
+    free = (vectors[:, ~live] ** 2).sum(axis=1) > 1e-8
+    inverse = (vectors[:, live] / values[live]) @ vectors[:, live].T
+    xtx = inverse / np.outer(scale, scale)
     coef = xtx @ (x.T @ y)
     resid = y - x @ coef
     u = x * resid[:, None]
@@ -189,10 +196,13 @@ def _hac_ols(y: np.ndarray, x: np.ndarray, lags: int):
     for lag in range(1, min(lags, len(u) - 1) + 1):
         g = u[lag:].T @ u[:-lag]
         s += (1 - lag / (lags + 1)) * (g + g.T)
-    t = coef / np.sqrt(np.diag(xtx @ s @ xtx))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = coef / np.sqrt(np.diag(xtx @ s @ xtx))
+    t = np.where(free | ~np.isfinite(t), np.nan, t)
+    named = np.where(free, np.nan, coef)
     centred = y - y.mean()
     total = centred @ centred
-    return coef, t, 1 - (resid @ resid) / total if total else float("nan")
+    return named, t, 1 - (resid @ resid) / total if total else float("nan")
 
 
 def factor_regression(returns: DataFrame, factors: DataFrame, *, cols: list[str] | None = None,
@@ -201,7 +211,9 @@ def factor_regression(returns: DataFrame, factors: DataFrame, *, cols: list[str]
     """Long table (series, term, coef, t, p, r2, n) of returns on factors.
 
     Each series is a calendar-bounded handful of rows, so the solve is a grouped
-    function; the constant is annualised.
+    function; the constant is annualised. Terms that are not identified (a constant or
+    collinear factor) have NULL estimates; a series of no more months than terms has
+    NULL in all of them.
     """
     cols = cols or [c for c in FACTORS if c in factors.columns]
     joined = returns.select(*series, "yyyymm", F.col(value).alias("_y")).join(
@@ -212,7 +224,11 @@ def factor_regression(returns: DataFrame, factors: DataFrame, *, cols: list[str]
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("yyyymm")
         if len(pdf) <= len(terms):
-            return pd.DataFrame()
+            out = pd.DataFrame({"term": terms, "coef": None, "t": None, "p": None, "r2": None,
+                                "n": len(pdf)})
+            for s in series:
+                out.insert(0, s, pdf[s].iloc[0])
+            return out
         x = np.column_stack([np.ones(len(pdf)), pdf[cols].to_numpy(float)])
         coef, t, r2 = _hac_ols(pdf["_y"].to_numpy(float), x, lags)
         coef = coef * np.where(np.arange(len(terms)) == 0, MONTHS, 1)
@@ -224,22 +240,25 @@ def factor_regression(returns: DataFrame, factors: DataFrame, *, cols: list[str]
 
     fields = ", ".join(f"{s} string" for s in series)
     schema = f"{fields}, term string, coef double, t double, p double, r2 double, n long"
-    return joined.groupBy(*series).applyInPandas(fit, schema)
+    table = joined.groupBy(*series).applyInPandas(fit, schema)
+    return table.withColumns({c: finite(F.col(c)) for c in ("coef", "t", "p", "r2")})
 
 
 def alpha_vs_benchmark(returns: DataFrame, *, bench: str = "equal_weight", value: str = "net",
-                       least: int = 24, lags: int = 6) -> DataFrame:
-    """Each model's net return on the benchmark's: alpha, HAC t, active return.
+                       least: int = 24, lags: int = 6, series: tuple[str, ...] = ("model",)
+                       ) -> DataFrame:
+    """Each series' net return on the benchmark's: alpha, HAC t, active return.
 
     The constant is a weighted sum of returns, alpha = sum(h*y); its HAC variance is
     that of the series h*residual, so lag windows replace matrix algebra.
     """
-    months = returns.select("model", "yyyymm", F.col(value).alias("y"))
+    keys = list(dict.fromkeys([*series, "model"]))
+    months = returns.select(*keys, "yyyymm", F.col(value).alias("y"))
     base = (months.where(F.col("model") == bench).select("yyyymm", F.col("y").alias("x"))
             .dropDuplicates(["yyyymm"]))
     df = (months.where(F.col("model") != bench).join(F.broadcast(base), "yyyymm")
           .dropna(subset=["x", "y"]))
-    whole = Window.partitionBy("model")
+    whole = Window.partitionBy(*keys)
     ordered = whole.orderBy("yyyymm")
     x, y = F.col("x"), F.col("y")
     n, mx, my = (f.over(whole) for f in (F.count(x), F.avg(x), F.avg(y)))
@@ -251,10 +270,10 @@ def alpha_vs_benchmark(returns: DataFrame, *, bench: str = "equal_weight", value
               F.col("_mx") * (x - F.col("_mx")), F.col("_sxx") * (F.col("_n") - 1))))
     df = df.withColumn("_he", F.col("_h") * F.col("_resid"))
     df = df.withColumn("_ahac", bartlett(F.col("_he"), ordered, lags, lags))
-    df = with_mean_hac(df, ["model"], "yyyymm", "_act")
+    df = with_mean_hac(df, keys, "yyyymm", "_act")
     alpha = F.first("_alpha")
     explained = F.covar_samp(x, y) * F.covar_samp(x, y)
-    return df.groupBy("model").agg(
+    return df.groupBy(*keys).agg(
         (alpha * MONTHS).alias("alpha_ann"),
         F.try_divide(alpha, F.sqrt(F.sum("_ahac"))).alias("alpha_t"),
         F.first("_beta").alias("beta_bench"),

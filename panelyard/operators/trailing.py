@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.config import MAX_MONTHS
-from panelyard.functions.scalars import at_least
+from panelyard.functions.scalars import at_least, finite
 from panelyard.operators.universe import by_asset, month_table
 from panelyard.sources.store import attach
 
@@ -43,15 +43,21 @@ def spread_assets(df: DataFrame) -> DataFrame:
 
 
 def add_return_features(df: DataFrame) -> DataFrame:
-    """Trailing returns, risk, skew and drawdown from rows with a return.
+    """Trailing returns, risk, skew and drawdown from rows with a finite return.
+
+    A month that loses everything (a return of -1 or less; less cannot be compounded
+    and counts as -1) makes every trailing return that spans it -1, and the drawdown
+    over a frame that holds it minus infinity, which is given as NULL.
 
     As every row counts, "at least k observations" is a test on the row number. Sums
     come from running totals; only the central moments slide.
     """
     ret, own = F.col("ret"), by_asset()
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.where(ret.isNotNull()).select(
-        "*", F.row_number().over(own).alias("_k"), F.sum(F.log1p(ret)).over(upto).alias("_cum"),
+    lost, log = F.col("ret") <= -1, F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(0.0)
+    df = df.where(finite(ret).isNotNull()).select(
+        "*", F.row_number().over(own).alias("_k"), F.sum(log).over(upto).alias("_cum"),
+        F.sum(lost.cast("double")).over(upto).alias("_lost"),
         F.sum(ret).over(upto).alias("_sum"),
         *[_last(F.stddev_samp(ret), w).alias(f"_sd_{w}") for w in VOL_WINDOWS],
         _last(F.skewness(ret), 36).alias("_skew"))
@@ -60,16 +66,23 @@ def add_return_features(df: DataFrame) -> DataFrame:
     def seen(least: int, value: Column) -> Column:
         return F.when(k >= least, value)
 
-    cols = [seen(w, F.exp(_past(cum, w)) - 1).alias(f"r_{w}") for w in RETURN_WINDOWS]
-    cols += [ret.alias("r_1"), seen(12, F.exp(_past(cum, 12) - F.log1p(ret)) - 1).alias("r_12_2")]
+    def grown(w: int, skip: Column | None = None) -> Column:
+        """Compounded return of the last ``w`` rows, the latest left out if ``skip``."""
+        gone = _past(F.col("_lost"), w) - (lost.cast("double") if skip is not None else 0.0)
+        total = _past(cum, w) - (skip if skip is not None else 0.0)
+        return seen(w, F.when(gone > 0, -1.0).otherwise(F.exp(total) - 1))
+
+    cols = [grown(w).alias(f"r_{w}") for w in RETURN_WINDOWS]
+    cols += [ret.alias("r_1"), grown(12, log).alias("r_12_2")]
     cols += [seen(w // 2, F.col(f"_sd_{w}")).alias(f"vol_{w}") for w in VOL_WINDOWS]
     for w in SHARPE_WINDOWS:
         mean = _past(F.col("_sum"), w) / F.least(k, F.lit(w))
         risk = at_least(F.col(f"_sd_{w}"), 1e-6)
         cols.append(seen(w // 2, mean / risk * math.sqrt(12)).alias(f"sharpe_{w}"))
     cols.append(seen(36, F.col("_skew")).alias("skew_36"))
-    cols.append(seen(12, cum - _last(F.max(cum), 60)).alias("dd_60"))
-    return df.select("*", *cols).drop("_k", "_cum", "_sum", "_skew",
+    gone = _past(F.col("_lost"), 60) > 0
+    cols.append(seen(12, F.when(~gone, cum - _last(F.max(cum), 60))).alias("dd_60"))
+    return df.select("*", *cols).drop("_k", "_cum", "_sum", "_skew", "_lost",
                                       *[f"_sd_{w}" for w in VOL_WINDOWS])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelyard.config import MAX_MONTHS, Costs
 from panelyard.functions.months import from_month_index, month_index
-from panelyard.functions.scalars import pearson
+from panelyard.functions.scalars import finite, pearson
 from panelyard.operators.cross_section import Section, group_quantiles, measure, rank_within
 from panelyard.operators.universe import by_asset
 from panelyard.sources.store import attach
@@ -23,7 +23,7 @@ def unpivot_signals(firms: DataFrame, signals: list[str], start: int = 192601,
                     end: int = 202312) -> DataFrame:
     """(permno, yyyymm, signalname, value) without the empty cells of a sparse table."""
     window = firms.where(F.col("yyyymm").between(start, end))
-    return (window.select(*FIRM_IDS, *[F.col(s).cast("double").alias(s) for s in signals])
+    return (window.select(*FIRM_IDS, *[finite(F.col(s)).alias(s) for s in signals])
             .unpivot(list(FIRM_IDS), signals, "signalname", "value")
             .where(F.col("value").isNotNull()))
 

@@ -23,11 +23,11 @@ from panelyard.operators.objective_fit import fit_linear_objective
 from panelyard.plans import oracle, tables
 from panelyard.plans.oracle import drawdowns, performance, r, statement, t_stat
 from panelyard.plans.panel import build_panel
-from panelyard.plans.walk_forward import run_walk_forward
+from panelyard.plans.walk_forward import read_predictions, run_walk_forward
 from panelyard.sources import driver_tables as src
 from panelyard.sources.files import (DOC_FIELDS, build_factors, load_metadata, long_short_returns,
                                      read_factor_text, read_portfolio_returns,
-                                     signals_csv_to_parquet)
+                                     signals_csv_to_parquet, write_csv)
 from panelyard.sources.store import materialise, stage_dir, write_stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,7 +82,7 @@ def _version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A stage table, rebuilt in a new session or when a source file changed."""
     key = (spark.sparkContext.applicationId, stage_dir(spark), sf_dir, name,
-           _version(spark, sf_dir, ("lineitem", "supplier")))
+           _version(spark, sf_dir, ("lineitem", "supplier", "nation", "region")))
     if key in _stages:
         path, schema = _stages[key]
         try:
@@ -164,11 +164,14 @@ _SIG = ("sig_disc", "sig_price", "sig_qty", "sig_tax")
 
 @query("signals_csv_source", f"""
     SELECT CAST(permno AS INTEGER) AS permno, yyyymm, {r(*_SIG, digits=3)}
-    FROM (SELECT permno, yyyymm, CAST(sig_disc AS FLOAT) AS sig_disc,
+    FROM (SELECT permno, yyyymm,
+                 CASE WHEN permno % 3 <> 0 THEN CAST(sig_disc AS FLOAT) END AS sig_disc,
                  CAST(sig_price AS FLOAT) AS sig_price, CAST(sig_qty AS FLOAT) AS sig_qty,
                  CAST(sig_tax AS FLOAT) AS sig_tax FROM firm)""")
 def signals_csv_source(spark, sf_dir):
     wide = src.firm_signals(spark, sf_dir).withColumn("permno", F.col("permno").cast("int"))
+    wide = wide.withColumn("sig_disc", F.when(F.col("permno") % 3 == 0, float("nan")).otherwise(
+        F.col("sig_disc")))  # written as the text NaN, read as NULL
     path = _written(wide, "signals")
     return out(signals_csv_to_parquet(spark, path, f"{path}.parquet"), digits=3)
 
@@ -292,6 +295,24 @@ def return_features(spark, sf_dir):
     return out(df, "signalname", "yyyymm", *_TRAILING, "skew_36", coarse={"skew_36": 5})
 
 
+_LOSS = {
+    "lossy": """SELECT signalname, yyyymm, mi, CASE WHEN yyyymm % 100 = 6 AND CAST(signalname AS BIGINT) % 2 = 0
+                       THEN -1e0 ELSE ret END AS ret FROM rets""",
+    "spans": "SELECT *, " + ", ".join(
+        f"CASE WHEN count(*) OVER {oracle.frame(w)} >= {w} THEN product(1 + ret) OVER {oracle.frame(w)} - 1 "
+        f"END AS r_{w}" for w in (3, 12, 36)) + " FROM lossy"}
+
+
+@query("total_loss_features", f"""
+    SELECT signalname, yyyymm, {r('r_3', 'r_12', 'r_36', digits=7)} FROM spans""", _LOSS)
+def total_loss_features(spark, sf_dir):
+    """Trailing returns where every second asset loses everything each June."""
+    june = (F.col("yyyymm") % 100 == 6) & (F.col("signalname").cast("long") % 2 == 0)
+    df = src.asset_returns(spark, sf_dir).withColumn("ret", F.when(june, -1.0).otherwise(F.col("ret")))
+    df = trailing.add_return_features(trailing.spread_assets(df))
+    return out(df, "signalname", "yyyymm", "r_3", "r_12", "r_36", digits=7)
+
+
 @query("index_features", f"""
     SELECT signalname, yyyymm, n_available,
            {r('idx_ret', 'beta_idx', 'corr_idx', 'idx_r_12', digits=7)} FROM idxfeat""")
@@ -315,9 +336,9 @@ _ONE_HOT = ("cat_economic_africa", "cat_economic_america", "cat_economic_asia",
                    f"AS cat_{k}_{v}" for k, v in (c[4:].split("_", 1) for c in _ONE_HOT))
        + " FROM pit JOIN meta USING (signalname)")
 def metadata_features(spark, sf_dir):
-    levels = {"cat_economic": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
-              "cat_data": [], "cat_form": ["long", "short"]}
-    df = attach_metadata(returns_in_universe(spark, sf_dir), src.metadata(spark, sf_dir), levels)
+    live, meta = returns_in_universe(spark, sf_dir), src.metadata(spark, sf_dir)
+    levels = common_levels(live.join(meta, "signalname"), ["cat_economic", "cat_data", "cat_form"])
+    df = attach_metadata(live, meta, levels)
     return df.select("signalname", "yyyymm", "yrs_since_pub", "yrs_since_sample_end",
                      "orig_sample_years", "is_value_weighted", *_ONE_HOT)
 
@@ -716,19 +737,37 @@ def top_models(spark, sf_dir):
     return out(tables.top_models(econ, 2), "model", "sharpe_net", digits=6)
 
 
+# Two schemes beside each other, so that no table mixes them.
+_TWO = ({"sbook": "SELECT * FROM w_tilt UNION ALL SELECT * FROM w_neutral UNION ALL "
+                  "SELECT * FROM w_equal"} | oracle._accounting("sbook", "s"))
+
+
+def schemes_stage(spark, sf_dir) -> DataFrame:
+    """Monthly rows of two schemes at every cost multiple."""
+    def build():
+        book = materialise(tables.weight_book(
+            prediction_stage(spark, sf_dir), SETTINGS, schemes=("tilt", "neutral"),
+            benchmark_of=BENCH_OF), "book")
+        return tables.monthly_results(book, SETTINGS, multipliers=SETTINGS.costs.multipliers,
+                                      groups=2400 * (2 * len(MODELS) + 1))
+    return stage(spark, sf_dir, "schemes", build)
+
+
 @query("strategy_returns", "SELECT yyyymm, " + r(*[
-    f"max(CASE WHEN model = '{m}' THEN net END)>{m}" for m in ("equal_weight", *MODELS)])
-    + " FROM monthly GROUP BY yyyymm")
+    f"max(CASE WHEN model = '{m}' AND scheme <> 'tilt' THEN net END)>{m}"
+    for m in ("equal_weight", *MODELS)]) + " FROM smonthly GROUP BY yyyymm", _TWO)
 def strategy_returns(spark, sf_dir):
-    return out(tables.strategy_returns(base_case(spark, sf_dir), ["equal_weight", *MODELS]))
+    return out(tables.strategy_returns(schemes_stage(spark, sf_dir), ["equal_weight", *MODELS],
+                                       "neutral"))
 
 
 @query("cost_sensitivity", f"""
-    SELECT model, {r('cost_mult', 'cost_mult * 25>cost_bps',
-                     'avg(net) / stddev_samp(net) * sqrt(12e0)>sharpe_net', 'avg(net) * 12>ret_net',
-                     digits=6)} FROM swept GROUP BY model, cost_mult""")
+    SELECT model, scheme, {r('cost_mult', 'cost_mult * 25>cost_bps',
+                             'avg(net) / stddev_samp(net) * sqrt(12e0)>sharpe_net',
+                             'avg(net) * 12>ret_net', digits=6)}
+    FROM sswept GROUP BY model, scheme, cost_mult""", _TWO)
 def cost_sensitivity(spark, sf_dir):
-    return out(tables.cost_sensitivity(monthly_stage(spark, sf_dir)), digits=6)
+    return out(tables.cost_sensitivity(schemes_stage(spark, sf_dir)), digits=6)
 
 
 @query("cost_curve", f"""
@@ -745,53 +784,55 @@ def cost_curve(spark, sf_dir):
 
 
 _PROFILE = {"profile": """
-    SELECT model, avg(turnover) AS turnover, avg(switching) * 12 AS switching_ann,
+    SELECT model, scheme, avg(turnover) AS turnover, avg(switching) * 12 AS switching_ann,
            avg(carrying) * 12 AS carrying_ann, avg(gross) * 12 AS gross_ann, avg(net) * 12 AS net_ann
-    FROM monthly GROUP BY model"""}
+    FROM smonthly GROUP BY model, scheme"""} | _TWO
 
 
 @query("turnover_profile", f"""
-    SELECT model, {r('turnover', 'switching_ann', 'carrying_ann', 'gross_ann', 'net_ann', digits=7)}
+    SELECT model, scheme, {r('turnover', 'switching_ann', 'carrying_ann', 'gross_ann', 'net_ann', digits=7)}
     FROM profile""", _PROFILE)
 def turnover_profile(spark, sf_dir):
-    return out(tables.turnover_profile(base_case(spark, sf_dir)), digits=7)
+    return out(tables.turnover_profile(schemes_stage(spark, sf_dir)), digits=7)
 
 
 @query("cost_decomposition", f"""
-    SELECT model, {r('net_ann', 'switching_ann', 'carrying_ann', 'greatest(net_ann, 0)>switching_from',
+    SELECT model, scheme, {r('net_ann', 'switching_ann', 'carrying_ann', 'greatest(net_ann, 0)>switching_from',
                      'greatest(net_ann, 0) + switching_ann>carrying_from', digits=7)}
     FROM profile""", _PROFILE)
 def cost_decomposition(spark, sf_dir):
-    profile = tables.turnover_profile(base_case(spark, sf_dir))
+    profile = tables.turnover_profile(schemes_stage(spark, sf_dir))
     return out(tables.cost_decomposition(profile), digits=7)
 
 
 _BLOCKS = {
     "blocks": """
-        SELECT *, CASE WHEN yyyymm < 199807 THEN (min(yyyymm) OVER (PARTITION BY model)) // 100 || '-1998'
-                       ELSE '1998-' || (max(yyyymm) OVER (PARTITION BY model)) // 100 END AS period
-        FROM monthly WHERE model <> 'equal_weight'""",
-    "block_t": t_stat("blocks", "model, period", "net"),
-    "block_dd": drawdowns("blocks", "model, period"),
-}
+        SELECT *, CASE WHEN yyyymm < 199807
+                       THEN (min(yyyymm) OVER (PARTITION BY model, scheme)) // 100 || '-1998'
+                       ELSE '1998-' || (max(yyyymm) OVER (PARTITION BY model, scheme)) // 100 END AS period
+        FROM smonthly WHERE model <> 'equal_weight'""",
+    "block_t": t_stat("blocks", "model, scheme, period", "net"),
+    "block_dd": drawdowns("blocks", "model, scheme, period"),
+} | _TWO
 
 
 @query("decay_analysis", f"""
-    SELECT model, period, count(net) AS n_months,
+    SELECT model, scheme, period, count(net) AS n_months,
            {r('avg(net) * 12>ret_net', 'avg(net) / stddev_samp(net) * sqrt(12e0)>sharpe_net',
               'max(t)>t_net', 'min(dd)>max_dd', digits=6)}
-    FROM block_dd JOIN block_t USING (model, period) GROUP BY model, period""", _BLOCKS)
+    FROM block_dd JOIN block_t USING (model, scheme, period)
+    GROUP BY model, scheme, period""", _BLOCKS)
 def decay_analysis(spark, sf_dir):
-    return out(tables.decay_analysis(base_case(spark, sf_dir), (199807,)), "model", "period",
+    return out(tables.decay_analysis(schemes_stage(spark, sf_dir), (199807,)), "model", "scheme", "period",
                "n_months", "ret_net", "sharpe_net", "t_net", "max_dd", digits=6)
 
 
 @query("sharpe_by_period", "SELECT period, " + r(*[
     f"max(CASE WHEN model = '{m}' THEN s END)>{m}" for m in MODELS], digits=6) + """
     FROM (SELECT model, period, avg(net) / stddev_samp(net) * sqrt(12e0) AS s FROM blocks
-          GROUP BY model, period) GROUP BY period""", _BLOCKS)
+          WHERE scheme = 'tilt' GROUP BY model, period) GROUP BY period""", _BLOCKS)
 def sharpe_by_period(spark, sf_dir):
-    decay = tables.decay_analysis(base_case(spark, sf_dir), (199807,))
+    decay = tables.decay_analysis(schemes_stage(spark, sf_dir), (199807,))
     return out(tables.sharpe_by_bucket(decay, list(MODELS), "period"), digits=6)
 
 
@@ -805,74 +846,101 @@ def equity_curve(spark, sf_dir):
 
 _VERSUS = {
     "pairs": """
-        SELECT a.model, a.yyyymm, a.net AS y, b.net AS x, a.net - b.net AS act,
-               row_number() OVER (PARTITION BY a.model ORDER BY a.yyyymm) AS o
-        FROM monthly a JOIN monthly b ON b.yyyymm = a.yyyymm AND b.model = 'equal_weight'
+        SELECT a.model, a.scheme, a.yyyymm, a.net AS y, b.net AS x, a.net - b.net AS act,
+               row_number() OVER (PARTITION BY a.model, a.scheme ORDER BY a.yyyymm) AS o
+        FROM smonthly a JOIN smonthly b ON b.yyyymm = a.yyyymm AND b.model = 'equal_weight'
         WHERE a.model <> 'equal_weight'""",
     "lines": """
-        SELECT model, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b,
+        SELECT model, scheme, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b,
                regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, avg(act) AS act,
-               stddev_samp(act) AS sd_act FROM pairs GROUP BY model""",
+               stddev_samp(act) AS sd_act FROM pairs GROUP BY model, scheme""",
     "shares": """
-        SELECT model, o, (1e0 / n - mx * (x - mx) / sxx) * (y - a - b * x) AS he
-        FROM pairs JOIN lines USING (model)""",
+        SELECT model, scheme, o, (1e0 / n - mx * (x - mx) / sxx) * (y - a - b * x) AS he
+        FROM pairs JOIN lines USING (model, scheme)""",
     "errors": """
-        SELECT p.model, sqrt(sum(CASE WHEN p.o = q.o THEN p.he * q.he
+        SELECT p.model, p.scheme, sqrt(sum(CASE WHEN p.o = q.o THEN p.he * q.he
                                       ELSE 2 * (1 - (p.o - q.o) / 7e0) * p.he * q.he END)) AS se
-        FROM shares p JOIN shares q ON p.model = q.model AND q.o <= p.o AND p.o - q.o <= 6
-        GROUP BY p.model""",
-}
+        FROM shares p JOIN shares q ON p.model = q.model AND p.scheme = q.scheme
+             AND q.o <= p.o AND p.o - q.o <= 6
+        GROUP BY p.model, p.scheme""",
+} | _TWO
 _ALPHA = ("alpha_ann", "alpha_t", "beta_bench", "r2", "active_ann", "info_ratio", "t_active")
 
 
 @query("alpha_vs_benchmark", f"""
-    SELECT model, {r('a * 12>alpha_ann', 'a / se>alpha_t', 'b>beta_bench', 'r2', 'act * 12>active_ann',
+    SELECT model, scheme, {r('a * 12>alpha_ann', 'a / se>alpha_t', 'b>beta_bench', 'r2', 'act * 12>active_ann',
                      'act / sd_act * sqrt(12e0)>info_ratio', 't>t_active', digits=6)}
-    FROM lines JOIN errors USING (model) JOIN ({t_stat('pairs', 'model', 'act')}) USING (model)""",
+    FROM lines JOIN errors USING (model, scheme)
+         JOIN ({t_stat('pairs', 'model, scheme', 'act')}) USING (model, scheme)""",
        _VERSUS)
 def alpha_vs_benchmark(spark, sf_dir):
-    return out(inference.alpha_vs_benchmark(base_case(spark, sf_dir)), "model", *_ALPHA, digits=6)
+    return out(tables.alpha_vs_benchmark(schemes_stage(spark, sf_dir)), "model", "scheme", *_ALPHA,
+               digits=6)
 
 
-def _orthogonal_parts() -> dict[str, str]:
-    """Three factors by successive projection; the constant comes last, so its
-    coefficient is the alpha and its residual gives the HAC weights."""
-    parts = {
-        "reg0": """
-            SELECT model, yyyymm, net AS y, mktrf AS z1, smb AS x2, hml AS x3, 1e0 AS x4,
-                   net - avg(net) OVER (PARTITION BY model) AS yc
-            FROM monthly JOIN factors USING (yyyymm)"""}
-    dot = "sum({a} * {b}) OVER (PARTITION BY model) / sum({b} * {b}) OVER (PARTITION BY model)"
+_TERMS = {"mktrf": "mktrf", "smb": "smb", "hml": "hml", "const": "1e0"}
+
+
+def _orthogonal_parts(last: str = "const", p: str = "") -> dict[str, str]:
+    """Factors and constant by successive projection; the term that comes ``last`` gets
+    its coefficient and, from its residual, the HAC weights."""
+    one, two, three, four = [v for k, v in _TERMS.items() if k != last] + [_TERMS[last]]
+    parts = _TWO | {
+        f"{p}reg0": f"""
+            SELECT model, scheme, yyyymm, net AS y, {one} AS z1, {two} AS x2, {three} AS x3, {four} AS x4,
+                   net - avg(net) OVER (PARTITION BY model, scheme) AS yc
+            FROM smonthly JOIN factors USING (yyyymm)"""}
+    dot = ("sum({a} * {b}) OVER (PARTITION BY model, scheme) "
+           "/ sum({b} * {b}) OVER (PARTITION BY model, scheme)")
     names = [["x2", "x3", "x4", "y"], ["x3", "x4", "y"], ["x4", "y"], ["y"]]
     for i, targets in enumerate(names, 1):
         z = f"z{i}"
         new = [f"{t} - ({dot.format(a=t, b=z)}) * {z} AS "
                + (f"z{i + 1}" if j == 0 and t != "y" else t) for j, t in enumerate(targets)]
-        keep = [f"z{k}" for k in range(1, i + 1)] + ["model", "yyyymm", "yc"]
+        keep = [f"z{k}" for k in range(1, i + 1)] + ["model", "scheme", "yyyymm", "yc"]
         if i == 4:
             new.append(f"{dot.format(a='y', b=z)} AS alpha")
-        parts[f"reg{i}"] = f"SELECT {', '.join(keep + new)} FROM reg{i - 1}"
-    parts["weights4"] = """
-        SELECT model, alpha, y, yc, z4 / sum(z4 * z4) OVER (PARTITION BY model) * y AS he,
-               row_number() OVER (PARTITION BY model ORDER BY yyyymm) AS o FROM reg4"""
-    parts["hac4"] = """
-        SELECT p.model, sum(CASE WHEN p.o = q.o THEN p.he * q.he
+        parts[f"{p}reg{i}"] = f"SELECT {', '.join(keep + new)} FROM {p}reg{i - 1}"
+    parts[f"{p}weights4"] = f"""
+        SELECT model, scheme, alpha, y, yc,
+               z4 / sum(z4 * z4) OVER (PARTITION BY model, scheme) * y AS he,
+               row_number() OVER (PARTITION BY model, scheme ORDER BY yyyymm) AS o FROM {p}reg4"""
+    parts[f"{p}hac4"] = f"""
+        SELECT p.model, p.scheme, sum(CASE WHEN p.o = q.o THEN p.he * q.he
                                  ELSE 2 * (1 - (p.o - q.o) / 7e0) * p.he * q.he END) AS v
-        FROM weights4 p JOIN weights4 q ON p.model = q.model AND q.o <= p.o AND p.o - q.o <= 6
-        GROUP BY p.model"""
+        FROM {p}weights4 p JOIN {p}weights4 q ON p.model = q.model AND p.scheme = q.scheme
+             AND q.o <= p.o AND p.o - q.o <= 6
+        GROUP BY p.model, p.scheme"""
     return parts
 
 
 @query("factor_alpha", f"""
-    SELECT model, max(n) AS n, {r('max(alpha) * 12>alpha_ann', 'max(alpha) / sqrt(max(v))>alpha_t',
+    SELECT model, scheme, max(n) AS n, {r('max(alpha) * 12>alpha_ann', 'max(alpha) / sqrt(max(v))>alpha_t',
                                   '1 - max(rss) / max(tss)>r2', digits=6)}
-    FROM (SELECT model, max(alpha) AS alpha, count(*) AS n, sum(y * y) AS rss, sum(yc * yc) AS tss
-          FROM weights4 GROUP BY model) JOIN hac4 USING (model) GROUP BY model""",
+    FROM (SELECT model, scheme, max(alpha) AS alpha, count(*) AS n, sum(y * y) AS rss,
+                 sum(yc * yc) AS tss FROM weights4 GROUP BY model, scheme)
+         JOIN hac4 USING (model, scheme) GROUP BY model, scheme""",
        _orthogonal_parts())
 def factor_alpha(spark, sf_dir):
-    monthly = base_case(spark, sf_dir)
+    monthly = schemes_stage(spark, sf_dir)
     return out(tables.alpha_table(monthly, src.factors(spark, sf_dir), ["mktrf", "smb", "hml"]),
-               "model", "n", "alpha_ann", "alpha_t", "r2", digits=6)
+               "model", "scheme", "n", "alpha_ann", "alpha_t", "r2", digits=6)
+
+
+@query("factor_regression_terms", " UNION ALL ".join(f"""
+    SELECT model, scheme, '{t}' AS term, max(n) AS n,
+           {r(f"max(alpha) * {12 if t == 'const' else 1}>coef", 'max(alpha) / sqrt(max(v))>t',
+              '1 - max(rss) / max(tss)>r2', digits=6)}
+    FROM (SELECT model, scheme, max(alpha) AS alpha, count(*) AS n, sum(y * y) AS rss,
+                 sum(yc * yc) AS tss FROM {t}_weights4 GROUP BY model, scheme)
+         JOIN {t}_hac4 USING (model, scheme) GROUP BY model, scheme""" for t in _TERMS),
+       {k: v for t in _TERMS for k, v in _orthogonal_parts(t, f"{t}_").items()})
+def factor_regression_terms(spark, sf_dir):
+    """Every term's coefficient and HAC t."""
+    long = inference.factor_regression(
+        tables.base_costs(schemes_stage(spark, sf_dir)), src.factors(spark, sf_dir),
+        cols=["mktrf", "smb", "hml"], series=tables.STRATEGY)
+    return out(long, "model", "scheme", "term", "n", "coef", "t", "r2", digits=6)
 
 
 @query("factor_table", f"""
@@ -918,16 +986,20 @@ def _metric_rank(metric: str) -> str:
 
 
 @query("accuracy_versus_value", f"""
-    SELECT metric, count(*) AS n_models, {r('corr(a, b)>spearman_vs_sharpe_net', digits=6)}
+    SELECT metric, n_models, {r('rho>spearman_vs_sharpe_net',
+        'CASE WHEN abs(rho) > 1 - 1e-12 THEN 0 ELSE 1 - 2 / pi() * atan(abs(rho) / sqrt(1 - rho * rho)) END>p_value',
+        digits=6)}
+    FROM (SELECT metric, count(*) AS n_models, corr(a, b) AS rho
     FROM (SELECT metric, rank() OVER (PARTITION BY metric ORDER BY v) AS a,
                  rank() OVER (PARTITION BY metric ORDER BY s) AS b
           FROM ({" UNION ALL ".join(_metric_rank(m) for m in ("ic_mean", "ic_t", "oos_r2_pct"))}))
-    GROUP BY metric""", _IC | _ECON)
+    GROUP BY metric)""", _IC | _ECON)
 def accuracy_versus_value(spark, sf_dir):
+    """With three models the t distribution has one degree of freedom: an arc tangent."""
     table = tables.accuracy_versus_value(
         tables.statistical_table(prediction_stage(spark, sf_dir)),
         tables.economic_table(base_case(spark, sf_dir)))
-    return out(table, "metric", "n_models", "spearman_vs_sharpe_net", digits=6)
+    return out(table, "metric", "n_models", "spearman_vs_sharpe_net", "p_value", digits=6)
 
 
 def two_universes(spark, sf_dir) -> DataFrame:
@@ -973,6 +1045,28 @@ def capacity_comparison(spark, sf_dir):
     return out(tables.capacity_comparison(economic, "all", "large"), digits=6)
 
 
+_FULL = ("ret_gross", "ret_net", "sharpe_gross", "sharpe_net", "t_net", "turnover")
+
+
+@query("capacity_full", f"""
+    SELECT 'all' AS universe, model, {r(*_FULL, digits=6)} FROM e_all
+    UNION ALL SELECT 'large', model, {r(*_FULL, digits=6)} FROM e_large""",
+       _narrow_parts() | {
+           "shared": "SELECT DISTINCT yyyymm FROM monthly SEMI JOIN x_monthly USING (yyyymm)",
+           "m_all": "SELECT monthly.* FROM monthly SEMI JOIN shared USING (yyyymm)",
+           "m_large": "SELECT x_monthly.* FROM x_monthly SEMI JOIN shared USING (yyyymm)",
+           "e_all": performance("m_all", "model"), "e_large": performance("m_large", "model")})
+def capacity_full(spark, sf_dir):
+    """Both universes over the months they share."""
+    preds = materialise(two_universes(spark, sf_dir), "universes")
+    book = materialise(tables.weight_book(preds, SETTINGS, series=("universe", "model"),
+                                          benchmark_of=BENCH_OF))
+    series = ("universe", "model", "scheme")
+    monthly = materialise(tables.monthly_results(book, SETTINGS, series=series), "monthly")
+    economic = tables.economic_table(tables.common_months(monthly), series)
+    return out(tables.capacity_full(economic), digits=6)
+
+
 @query("capacity_rank_agreement", f"""
     SELECT {r('corr(ra, rb)>rho')} FROM (
         SELECT rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb
@@ -1011,21 +1105,42 @@ def walk_forward_folds(spark, sf_dir):
     return _folds(spark, sf_dir)
 
 
+_PLANTED = _FOLD_PARTS | {"planted": """
+    SELECT fold, role, yyyymm FROM folds
+    UNION ALL SELECT fold, 'train', yyyymm FROM folds WHERE role = 'val' AND fold LIKE '2000%'
+    UNION ALL SELECT fold, 'val', yyyymm FROM folds WHERE role = 'test'
+    UNION ALL SELECT 'again', role, yyyymm FROM folds WHERE role = 'test' AND fold LIKE '2000%'"""}
+
+
 @query("leakage_check", """
-    SELECT a.fold, 'train overlaps val' AS problem FROM folds a JOIN folds b ON a.fold = b.fold
-           AND a.role = 'train' AND b.role = 'val' AND a.yyyymm >= b.yyyymm GROUP BY a.fold""",
-       _FOLD_PARTS)
+    SELECT a.fold, 'train overlaps val' AS problem FROM planted a JOIN planted b ON a.fold = b.fold
+           AND a.role = 'train' AND b.role = 'val' AND a.yyyymm >= b.yyyymm GROUP BY a.fold
+    UNION ALL
+    SELECT a.fold, 'val overlaps test' FROM planted a JOIN planted b ON a.fold = b.fold
+           AND a.role = 'val' AND b.role = 'test' AND a.yyyymm >= b.yyyymm GROUP BY a.fold
+    UNION ALL
+    SELECT min(fold), 'month tested twice' FROM planted WHERE role = 'test' GROUP BY yyyymm
+    HAVING count(*) > 1""", _PLANTED)
 def leakage_check(spark, sf_dir):
-    return folds.leakage_violations(_folds(spark, sf_dir))
+    """The folds with overlaps of every sort planted among them."""
+    good = _folds(spark, sf_dir)
+    val, test = good.where("role = 'val'"), good.where("role = 'test'")
+    early = F.col("fold").startswith("2000")
+    return folds.leakage_violations(
+        good.unionByName(val.where(early).withColumn("role", F.lit("train")))
+        .unionByName(test.withColumn("role", F.lit("val")))
+        .unionByName(test.where(early).withColumn("fold", F.lit("again"))))
 
 
 @query("fold_rows", f"""
     SELECT fold, role, count(*) AS n, {r('avg(ret_next)>mean_ret')}
     FROM panel JOIN folds USING (yyyymm) GROUP BY fold, role""", _FOLD_PARTS)
 def fold_rows(spark, sf_dir):
-    rows = folds.fold_rows(panel_stage(spark, sf_dir), _folds(spark, sf_dir))
-    return out(rows.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"),
-                                                F.avg("ret_next").alias("mean_ret")))
+    months = panel_stage(spark, sf_dir).groupBy("yyyymm").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ret_next").alias("s"), F.count("ret_next").alias("k"))
+    rows = folds.fold_rows(months, _folds(spark, sf_dir))
+    return out(rows.groupBy("fold", "role").agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("s"), F.sum("k")).alias("mean_ret")))
 
 
 _WINDOW_PARTS = {
@@ -1079,90 +1194,123 @@ def encode_ids(spark, sf_dir):
 # ---------------------------------------------------------------- objectives
 _OBJ_PARTS = _window_parts(24, 24) | {
     "orows": """
-        SELECT win, pos, signalname, score, ret_next_dm AS y, carry_cost AS carry, 5e-3 AS sw,
+        SELECT model, win, pos, signalname, score, ret_next_dm AS y, carry_cost AS carry, 5e-3 AS sw,
                count(*) OVER m AS n, avg(score) OVER m AS mean
-        FROM preds JOIN wins USING (yyyymm) WHERE model = 'momentum'
-        WINDOW m AS (PARTITION BY win, pos)""",
+        FROM preds JOIN wins USING (yyyymm) WINDOW m AS (PARTITION BY model, win, pos)""",
     "ow": """
         SELECT *, 1e0 / n + (score - mean) / greatest(sum(abs(score - mean)) OVER (
-                  PARTITION BY win, pos), 1e-8) AS w FROM orows""",
+                  PARTITION BY model, win, pos), 1e-8) AS w FROM orows""",
     "onav": """
-        SELECT win, signalname, pos + 1 AS pos, w * (1 + y) / greatest(1 + sum(w * y) OVER (
-               PARTITION BY win, pos), 1e-1) AS prior FROM ow""",
+        SELECT model, win, signalname, pos + 1 AS pos, w * (1 + y) / greatest(1 + sum(w * y) OVER (
+               PARTITION BY model, win, pos), 1e-1) AS prior FROM ow""",
     "omonths": """
-        SELECT win, pos, sum(w * y) AS gross, sum(move) AS turnover,
+        SELECT model, win, pos, sum(w * y) AS gross, sum(move) AS turnover,
                sum(sw * move + carry * abs(w)) AS cost
         FROM (SELECT ow.*, sqrt(pow(w - coalesce(prior, 0), 2) + 1e-8) - 1e-4 AS move
-              FROM ow LEFT JOIN onav USING (win, signalname, pos)) GROUP BY win, pos""",
+              FROM ow LEFT JOIN onav USING (model, win, signalname, pos)) GROUP BY model, win, pos""",
     "oic": """
-        SELECT win, pos, sum((score - mean) * (y - my)) / (
+        SELECT model, win, pos, sum((score - mean) * (y - my)) / (
                    sqrt(greatest(sum(pow(score - mean, 2)), 1e-8))
                    * sqrt(greatest(sum(pow(y - my, 2)), 1e-8))) AS ic
-        FROM (SELECT *, avg(y) OVER (PARTITION BY win, pos) AS my FROM orows) GROUP BY win, pos""",
+        FROM (SELECT *, avg(y) OVER (PARTITION BY model, win, pos) AS my FROM orows)
+        GROUP BY model, win, pos""",
 }
 _OBJ_SQL = {
-    "mse": "SELECT win, count(DISTINCT pos) AS n_months, avg(pow(score - y, 2)) AS loss FROM orows GROUP BY win",
-    "huber": """SELECT win, count(DISTINCT pos) AS n_months, avg(CASE WHEN abs(score - y) <= 2e-2
+    "mse": "SELECT model, win, count(DISTINCT pos) AS n_months, avg(pow(score - y, 2)) AS loss "
+           "FROM orows GROUP BY model, win",
+    "huber": """SELECT model, win, count(DISTINCT pos) AS n_months, avg(CASE WHEN abs(score - y) <= 2e-2
         THEN 5e-1 * pow(score - y, 2) ELSE 2e-2 * (abs(score - y) - 1e-2) END) AS loss
-        FROM orows GROUP BY win""",
-    "ic": "SELECT win, count(*) AS n_months, -avg(ic) AS loss FROM oic GROUP BY win",
-    "sharpe": """SELECT win, count(*) AS n_months, -avg(gross - cost)
-        / greatest(stddev_samp(gross - cost), 1e-8) * sqrt(12e0) AS loss FROM omonths GROUP BY win""",
-    "utility": """SELECT win, count(*) AS n_months, -(avg(gross - cost)
-        - 5 * var_samp(gross - cost)) AS loss FROM omonths GROUP BY win""",
+        FROM orows GROUP BY model, win""",
+    "ic": "SELECT model, win, count(*) AS n_months, -avg(ic) AS loss FROM oic GROUP BY model, win",
+    "sharpe": """SELECT model, win, count(*) AS n_months, -avg(gross - cost)
+        / greatest(stddev_samp(gross - cost), 1e-8) * sqrt(12e0) AS loss
+        FROM omonths GROUP BY model, win""",
+    "utility": """SELECT model, win, count(*) AS n_months, -(avg(gross - cost)
+        - 5 * var_samp(gross - cost)) AS loss FROM omonths GROUP BY model, win""",
 }
 
 
 def objective_rows(spark, sf_dir, length: int = 24) -> DataFrame:
-    """Momentum scores in non-overlapping windows of the panel's months."""
-    preds = prediction_stage(spark, sf_dir).where(F.col("model") == "momentum")
+    """Every model's scores in non-overlapping windows of the panel's months."""
+    preds = prediction_stage(spark, sf_dir)
     windows = folds.month_windows(folds.distinct_months(panel_stage(spark, sf_dir)), length, length)
     rows = folds.window_rows(preds, windows)
     return materialise(rows.select(
-        "window", "pos", "signalname", "score", F.col("ret_next_dm").alias("y"),
+        "model", "window", "pos", "signalname", "score", F.col("ret_next_dm").alias("y"),
         F.col("carry_cost").alias("carry"), F.col("switch_cost").alias("switch")), "rows")
 
 
 def _objective(name: str):
     def run(spark, sf_dir):
         rows = objective_rows(spark, sf_dir)
-        return out(objectives.objective_by_window(rows, name), "window", "n_months", "loss", digits=7)
+        return out(objectives.objective_by_window(rows, name), "model", "window", "n_months", "loss", digits=7)
     return run
 
 
 for _name, _sql in _OBJ_SQL.items():
     query(f"objective_{_name}", f"""
-        SELECT win AS "window", n_months, {r('loss', digits=7)} FROM ({_sql})""",
+        SELECT model, win AS "window", n_months, {r('loss', digits=7)} FROM ({_sql})""",
           _OBJ_PARTS)(_objective(_name))
 
 
 @query("objective_portfolio_months", f"""
-    SELECT win AS "window", pos, {r('gross', 'cost', 'turnover', digits=7)} FROM omonths""", _OBJ_PARTS)
+    SELECT model, win AS "window", pos, {r('gross', 'cost', 'turnover', digits=7)} FROM omonths""", _OBJ_PARTS)
 def objective_portfolio_months(spark, sf_dir):
     rows = objective_rows(spark, sf_dir)
-    section = measure(rows, objectives.CELL)
+    section = measure(rows, objectives.cell_of(rows))
     held = objectives.with_prior(objectives.raw_weights(rows, "tilt", section=section), section)
     return out(objectives.portfolio_months(held), digits=7)
 
 
 @query("objective_raw_weights", f"""
-    SELECT win AS "window", pos, signalname, {r('w>tilt', '2 * (w - 1e0 / n)>neutral')} FROM ow""",
+    SELECT model, win AS "window", pos, signalname, {r('w>tilt', '2 * (w - 1e0 / n)>neutral')} FROM ow""",
        _OBJ_PARTS)
 def objective_raw_weights(spark, sf_dir):
     rows = objective_rows(spark, sf_dir)
-    section = measure(rows, objectives.CELL)
+    section = measure(rows, objectives.cell_of(rows))
     tilt = objectives.raw_weights(rows, "tilt", section=section).withColumnRenamed("w", "tilt")
     both = objectives.raw_weights(tilt.drop("dev", "l1", "_cells"), "neutral", section=section)
-    return out(both.withColumnRenamed("w", "neutral"), "window", "pos", "signalname", "tilt",
+    return out(both.withColumnRenamed("w", "neutral"), "model", "window", "pos", "signalname", "tilt",
                "neutral")
 
 
 @query("evaluate_objective", f"""
-    SELECT CAST(sum(n_months) AS BIGINT) AS n_months, {r('sum(loss * n_months) / sum(n_months)>loss', digits=7)}
-    FROM ({_OBJ_SQL['sharpe']})""", _OBJ_PARTS)
+    SELECT model, CAST(sum(n_months) AS BIGINT) AS n_months,
+           {r('sum(loss * n_months) / sum(n_months)>loss', digits=7)}
+    FROM ({_OBJ_SQL['sharpe']}) GROUP BY model""", _OBJ_PARTS)
 def evaluate_objective(spark, sf_dir):
     rows = objective_rows(spark, sf_dir)
-    return out(objectives.evaluate_objective(rows, "sharpe"), "n_months", "loss", digits=7)
+    return out(objectives.evaluate_objective(rows, "sharpe"), "model", "n_months", "loss", digits=7)
+
+
+# Derivatives of a window's loss to a row's score, written out.
+_SLOPES = {
+    "mse": """SELECT *, 2 * (score - y) / count(*) OVER (PARTITION BY model, win) AS ds FROM orows""",
+    "huber": """SELECT *, greatest(least(score - y, 2e-2), -2e-2)
+                       / count(*) OVER (PARTITION BY model, win) AS ds FROM orows""",
+    "ic": """
+        SELECT *, -((y - my) - CASE WHEN pp > 1e-8 THEN pt * (score - mean) / pp ELSE 0 END)
+                  / sqrt(greatest(pp, 1e-8) * greatest(tt, 1e-8)) / months AS ds
+        FROM (SELECT *, sum(pow(score - mean, 2)) OVER m AS pp, sum(pow(y - my, 2)) OVER m AS tt,
+                     sum((score - mean) * (y - my)) OVER m AS pt,
+                     max(pos) OVER (PARTITION BY model, win) AS months
+              FROM (SELECT *, avg(y) OVER (PARTITION BY model, win, pos) AS my FROM orows)
+              WINDOW m AS (PARTITION BY model, win, pos))""",
+}
+
+
+def _gradient(name: str):
+    def run(spark, sf_dir):
+        rows = objective_rows(spark, sf_dir)
+        return out(objectives.score_gradient(rows, name), "model", "window", "pos", "signalname",
+                   "ds", coarse={"ds": 7})
+    return run
+
+
+for _name, _sql in _SLOPES.items():
+    query(f"objective_gradient_{_name}", f"""
+        SELECT model, win AS "window", pos, signalname, {r('ds', digits=7)} FROM ({_sql})""",
+          _OBJ_PARTS)(_gradient(_name))
 
 
 # ------------------------------------------------------------------ learners
@@ -1173,7 +1321,7 @@ _FIT_PARTS = _FOLD_PARTS | {
              FROM panel JOIN folds USING (yyyymm)""",
     "mm": """SELECT fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, regr_sxx(y, a) AS aa,
                     regr_sxx(y, b) AS bb, regr_sxy(b, a) AS ab, regr_sxy(y, a) AS ay,
-                    regr_sxy(y, b) AS byy FROM xy WHERE role = 'train' GROUP BY fold""",
+                    regr_sxy(y, b) AS byy, count(*) AS n FROM xy WHERE role = 'train' GROUP BY fold""",
     "coefs": " UNION ALL ".join(
         [f"""SELECT fold, 'ridge' AS model, '{name}' AS param,
                     ((bb + {a}) * ay - ab * byy) / ((aa + {a}) * (bb + {a}) - ab * ab) AS b1,
@@ -1181,11 +1329,25 @@ _FIT_PARTS = _FOLD_PARTS | {
          for a, name in ((1e1, "10"), (1e2, "100"), (1e3, "1000"), (1e4, "10000"), (1e5, "100000"))]
         + ["""SELECT fold, 'ols', '', (bb * ay - ab * byy) / (aa * bb - ab * ab),
                      (aa * byy - ab * ay) / (aa * bb - ab * ab) FROM mm""",
+           "SELECT fold, model, param, b1, b2 FROM nets",
            """SELECT fold, 'pls', '1', ay * q, byy * q FROM (
                   SELECT *, (ay * ay + byy * byy) / (ay * ay * aa + 2 * ay * byy * ab + byy * byy * bb)
                          AS q FROM mm)""",
            """SELECT fold, 'pls', '2', (bb * ay - ab * byy) / (aa * bb - ab * ab),
                      (aa * byy - ab * ay) / (aa * bb - ab * ab) FROM mm"""]),
+    "grid": "SELECT a, l FROM unnest([1e-5, 1e-4, 1e-3]) AS t(a), unnest([1e-1, 5e-1, 9e-1]) AS u(l)",
+    "descent": """
+        SELECT * FROM (WITH RECURSIVE step AS (
+            SELECT fold, a, l, 0 AS i, 0e0 AS b1, 0e0 AS b2 FROM mm, grid
+            UNION ALL
+            SELECT s.fold, s.a, s.l, i + 1,
+                   sign(ay / n - ab / n * s.b2) * greatest(abs(ay / n - ab / n * s.b2) - s.a * s.l, 0)
+                       / (aa / n + s.a * (1 - s.l)),
+                   sign(byy / n - ab / n * s.b1) * greatest(abs(byy / n - ab / n * s.b1) - s.a * s.l, 0)
+                       / (bb / n + s.a * (1 - s.l))
+            FROM step s JOIN mm USING (fold) WHERE i < 400)
+        SELECT * FROM step WHERE i = 400)""",
+    "nets": "SELECT fold, 'enet' AS model, a || '-' || l AS param, b1, b2 FROM descent",
     "tried": """
         SELECT c.fold, c.model, c.param, c.b1, c.b2, max(my - b1 * ma - b2 * mb) AS b0,
                avg(pow(y - (my - b1 * ma - b2 * mb) - b1 * a - b2 * b, 2)) AS mse
@@ -1201,7 +1363,7 @@ def _moment_panel(spark, sf_dir) -> DataFrame:
         *keep, *[(F.col(c) * 100).alias(c) for c in ("ret_next_dm", *_XS)])
 
 
-_LEAST_SQUARES = tuple(learners.ModelSpec(n) for n in ("ols", "ridge", "pls"))
+_LEAST_SQUARES = tuple(learners.ModelSpec(n) for n in ("ols", "ridge", "enet", "pls"))
 
 
 @query("baseline_fits", f"""
@@ -1221,6 +1383,29 @@ def walk_forward_predictions(spark, sf_dir):
     return out(preds, "signalname", "yyyymm", "fold", "model", "score", digits=4)
 
 
+@query("predictions_roundtrip", f"""
+    SELECT model, yyyymm, signalname, {r('score', 'ret_next')} FROM preds WHERE model <> 'lowvol'""")
+def predictions_roundtrip(spark, sf_dir):
+    """Written by model and read back for some of the models."""
+    path = f"{stage_dir(spark)}/run-{uuid.uuid4().hex}"
+    prediction_stage(spark, sf_dir).write.partitionBy("model").parquet(f"{path}/predictions")
+    return out(read_predictions(spark, path, ["momentum", "reversal"]), "model", "yyyymm",
+               "signalname", "score", "ret_next")
+
+
+@query("rounded_table_csv", """
+    SELECT model, scheme, n_months, round(ret_net + 1e-12, 4) + 0e0 AS ret_net,
+           round(turnover + 1e-12, 3) + 0e0 AS turnover, round(skew + 1e-12, 2) + 0e0 AS skew FROM econ""",
+       _ECON)
+def rounded_table_csv(spark, sf_dir):
+    """A finished table, rounded, written as CSV and read back."""
+    path = f"{stage_dir(spark)}/table-{uuid.uuid4().hex}"
+    write_csv(tables.rounded(tables.economic_table(base_case(spark, sf_dir))), path)
+    return spark.read.csv(path, header=True, inferSchema=True).select(
+        "model", "scheme", F.col("n_months").cast("long").alias("n_months"),
+        *[(F.col(c).cast("double") + 0.0).alias(c) for c in ("ret_net", "turnover", "skew")])
+
+
 @query("ensemble_average", f"""
     SELECT yyyymm, signalname, {r('avg((score - mu) / greatest(sd, 1e-6))>score')}
     FROM preds JOIN (SELECT model, yyyymm, avg(score) AS mu, stddev_pop(score) AS sd FROM preds
@@ -1233,16 +1418,16 @@ def ensemble_average(spark, sf_dir):
 
 def _feature_panel(spark, sf_dir):
     panel = panel_stage(spark, sf_dir)
-    built, names = transforms.build_features(panel, list(FEATURES))
+    built, names = transforms.build_features(panel, list(universe.feature_columns(panel)))
     return materialise(built, "features"), names
 
 
 @query("walk_forward_all_baselines")
 def walk_forward_all_baselines(spark, sf_dir):
-    """Every baseline on every fold; iterative fits have no SQL form."""
+    """Every baseline on every fold and feature; iterative fits have no SQL form."""
     panel, names = _feature_panel(spark, sf_dir)
     specs = [learners.ModelSpec(n) for n in learners.BASELINES]
-    preds, _, _ = run_walk_forward(panel, names, SETTINGS, specs, gbrt_iterations=5)
+    preds, _, _ = run_walk_forward(panel, names, SETTINGS, specs)
     return out(preds, "signalname", "yyyymm", "fold", "model", "score")
 
 

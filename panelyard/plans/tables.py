@@ -77,20 +77,34 @@ def top_models(economic: DataFrame, k: int = 4) -> DataFrame:
             .orderBy(F.desc("sharpe_net"), "model").limit(k))
 
 
-def strategy_returns(monthly: DataFrame, models: list[str]) -> DataFrame:
-    """Net return per month, one column per model."""
-    return monthly.groupBy("yyyymm").pivot("model", models).agg(F.first("net"))
+STRATEGY = ("model", "scheme")
+
+
+def base_costs(monthly: DataFrame) -> DataFrame:
+    """The rows at the base cost, where a cost sweep is in the table."""
+    return monthly.where(F.col("cost_mult") == 1.0) if "cost_mult" in monthly.columns else monthly
+
+
+def of_scheme(monthly: DataFrame, scheme: str) -> DataFrame:
+    """One scheme's rows, and the benchmark's."""
+    return monthly.where((F.col("scheme") == scheme) | (F.col("model") == BENCHMARK))
+
+
+def strategy_returns(monthly: DataFrame, models: list[str], scheme: str = "tilt") -> DataFrame:
+    """Net return per month, one column per model, under one scheme."""
+    return of_scheme(base_costs(monthly), scheme).groupBy("yyyymm").pivot("model", models).agg(
+        F.first("net"))
 
 
 def alpha_table(monthly: DataFrame, factors: DataFrame, cols: list[str] | None = None
                 ) -> DataFrame:
     terms = cols or [c for c in inference.FACTORS if c in factors.columns]
-    long = inference.factor_regression(monthly, factors, cols=terms)
+    long = inference.factor_regression(base_costs(monthly), factors, cols=terms, series=STRATEGY)
 
     def pick(term: str, col: str):
         return F.max(F.when(F.col("term") == term, F.col(col)))
 
-    return long.groupBy("model").agg(
+    return long.groupBy(*STRATEGY).agg(
         pick("const", "coef").alias("alpha_ann"), pick("const", "t").alias("alpha_t"),
         F.max("r2").alias("r2"), F.max("n").alias("n"),
         *[pick(t, "coef").alias(f"beta_{t}") for t in terms]).orderBy(F.desc("alpha_t"))
@@ -98,13 +112,14 @@ def alpha_table(monthly: DataFrame, factors: DataFrame, cols: list[str] | None =
 
 def cost_sensitivity(monthly: DataFrame, spread_bps: float = 25.0) -> DataFrame:
     """Net Sharpe and return at each cost multiple present in ``monthly``."""
-    return monthly.groupBy("model", "cost_mult").agg(
+    return monthly.groupBy(*STRATEGY, "cost_mult").agg(
         (F.col("cost_mult") * spread_bps).alias("cost_bps"),
         sharpe(F.col("net")).alias("sharpe_net"), (F.avg("net") * 12.0).alias("ret_net"))
 
 
-def cost_curve(sensitivity: DataFrame, highlight: list[str]) -> DataFrame:
-    """Highlighted models beside the band spanned by all the others."""
+def cost_curve(sensitivity: DataFrame, highlight: list[str], scheme: str = "tilt") -> DataFrame:
+    """Highlighted models beside the band spanned by all the others, under one scheme."""
+    sensitivity = of_scheme(sensitivity, scheme)
     rest = ~F.col("model").isin(*highlight, BENCHMARK)
     band = sensitivity.where(rest).groupBy("cost_bps").agg(
         F.min("sharpe_net").alias("others_low"), F.max("sharpe_net").alias("others_high"))
@@ -114,7 +129,7 @@ def cost_curve(sensitivity: DataFrame, highlight: list[str]) -> DataFrame:
 
 def turnover_profile(monthly: DataFrame) -> DataFrame:
     year = F.lit(12.0)
-    return monthly.groupBy("model").agg(
+    return base_costs(monthly).groupBy(*STRATEGY).agg(
         F.avg("turnover").alias("turnover"), (F.avg("switching") * year).alias("switching_ann"),
         (F.avg("carrying") * year).alias("carrying_ann"), (F.avg("gross") * year).alias("gross_ann"),
         (F.avg("net") * year).alias("net_ann")).orderBy(F.desc("net_ann"))
@@ -123,15 +138,19 @@ def turnover_profile(monthly: DataFrame) -> DataFrame:
 def cost_decomposition(profile: DataFrame) -> DataFrame:
     """Stacked-bar offsets: net, then switching, then carrying."""
     left = F.greatest(F.col("net_ann"), F.lit(0.0))
-    return profile.select("model", "net_ann", "switching_ann", "carrying_ann",
+    return profile.select(*STRATEGY, "net_ann", "switching_ann", "carrying_ann",
                           left.alias("switching_from"),
                           (left + F.col("switching_ann")).alias("carrying_from"))
 
 
 def decay_analysis(monthly: DataFrame, breaks: tuple[int, ...] = (201501,), least: int = 12
                    ) -> DataFrame:
-    models = monthly.where(F.col("model") != BENCHMARK)
-    return inference.subperiod_table(models, breaks, ("model",), least)
+    models = base_costs(monthly).where(F.col("model") != BENCHMARK)
+    return inference.subperiod_table(models, breaks, STRATEGY, least)
+
+
+def alpha_vs_benchmark(monthly: DataFrame) -> DataFrame:
+    return inference.alpha_vs_benchmark(base_costs(monthly), series=STRATEGY)
 
 
 def tilt_by_cost_quintile(book: DataFrame, model: str, *, section: Section | None = None,
@@ -211,6 +230,12 @@ def accuracy_versus_value(statistical: DataFrame, economic: DataFrame) -> DataFr
             "p_value", spearman_p(F.col("spearman_vs_sharpe_net"), F.col("n_models")))
 
 
+def capacity_full(economic: DataFrame) -> DataFrame:
+    """The long table of both universes."""
+    return economic.select("universe", "model", "ret_gross", "ret_net", "sharpe_gross",
+                           "sharpe_net", "t_net", "turnover")
+
+
 def capacity_comparison(economic: DataFrame, wide: str, narrow: str) -> DataFrame:
     """Net Sharpe per model in two universes, with the change."""
     sharpes = economic.groupBy("model").pivot("universe", [wide, narrow]).agg(F.first("sharpe_net"))
@@ -251,9 +276,9 @@ def grouped_bars(df: DataFrame, index: str, columns: str, values: str, levels: l
     return df.groupBy(index).pivot(columns, levels).agg(F.first(values))
 
 
-def sharpe_by_bucket(table: DataFrame, models: list[str], bucket: str = "size_quintile"
-                     ) -> DataFrame:
-    return grouped_bars(table.where(F.col("model").isin(models)), bucket, "model",
+def sharpe_by_bucket(table: DataFrame, models: list[str], bucket: str = "size_quintile",
+                     scheme: str = "tilt") -> DataFrame:
+    return grouped_bars(of_scheme(table, scheme).where(F.col("model").isin(models)), bucket, "model",
                         "sharpe_net", models)
 
 

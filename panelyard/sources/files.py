@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelyard.config import PORTFOLIO_SETS
+from panelyard.functions.scalars import finite
 from panelyard.sources.store import attach
 
 # Columns of the signal documentation and the names used here.
@@ -32,9 +33,12 @@ def signals_schema(columns: list[str], ids=("permno", "yyyymm")) -> T.StructType
 
 
 def read_signals_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Wide firm-signal CSV: integer ids, every other column a nullable float."""
+    """Wide firm-signal CSV: integer ids, every other column a nullable, finite float."""
     schema = signals_schema(columns or header_of(spark, path))
-    return spark.read.schema(schema).option("header", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).csv(path)
+    return df.select(*[finite(F.col(f"`{f.name}`")).cast("float").alias(f.name)
+                       if f.dataType == T.FloatType() else F.col(f"`{f.name}`")
+                       for f in schema.fields])
 
 
 def signals_csv_to_parquet(spark: SparkSession, source: str, target: str) -> DataFrame:
@@ -53,6 +57,8 @@ def read_portfolio_returns(spark: SparkSession, path: str, universe: str = "op")
         for c in header_of(spark, path)])
     df = (spark.read.schema(schema).option("header", True).option("nullValue", "NA")
           .option("emptyValue", None).csv(path))
+    numeric = [f.name for f in schema.fields if f.dataType == T.DoubleType()]
+    df = df.withColumns({c: finite(F.col(c)) for c in numeric})
     return df.withColumn("universe", F.lit(universe))
 
 
