@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ from panelyard.llm.shared import documents, out_schema, ship, texts_as_bytes
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONGEST = 256          # bytes of a pre-token that is merged in a matrix
-REMEMBERED = 400_000   # pieces a worker keeps before it starts anew
+REMEMBERED = 200_000   # pieces a worker keeps before it starts anew
 AT_ONCE = 1 << 20      # bytes of text whose new pieces are merged together
 NONE = np.int64(1) << 40
 # The white space of the split pattern (Unicode White_Space).
@@ -215,8 +216,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def slices(batch, limit: int = AT_ONCE, at: int = 1):
     """Parts of an Arrow batch whose texts (column ``at``) are short together."""
-    ends = np.cumsum(np.array(batch.column(at).cast(pa.large_binary()).to_pandas().str.len()
-                              if len(batch) else [], dtype=np.int64))
+    ends = np.cumsum(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False),
+                     dtype=np.int64)
     begin = 0
     while begin < len(batch):
         start = ends[begin - 1] if begin else 0
