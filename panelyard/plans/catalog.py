@@ -1424,13 +1424,22 @@ def _feature_panel(spark, sf_dir):
 
 @query("walk_forward_all_baselines")
 def walk_forward_all_baselines(spark, sf_dir):
-    """Every baseline on every fold and feature; iterative fits have no SQL form."""
+    """Every baseline but the trees on every fold and feature; some have no SQL form."""
     panel, names = _feature_panel(spark, sf_dir)
-    specs = [learners.ModelSpec(n) for n in learners.BASELINES]
+    specs = [learners.ModelSpec(n) for n in learners.BASELINES if n != "gbrt"]
+    specs.append(learners.ModelSpec("lin_mse", "linear", loss="mse"))
     preds, _, _ = run_walk_forward(panel, names, SETTINGS, specs)
     return out(preds, "signalname", "yyyymm", "fold", "model", "score")
 
 
+@query("walk_forward_gbrt")
+def walk_forward_gbrt(spark, sf_dir):
+    """Boosted trees on every fold and feature, up to 2000 rounds with patience."""
+    panel, names = _feature_panel(spark, sf_dir)
+    preds, _, _ = run_walk_forward(panel, names, SETTINGS, [learners.ModelSpec("gbrt")])
+    return out(preds, "signalname", "yyyymm", "fold", "model", "score")
+
+
 @query("linear_objective_fit")
 def linear_objective_fit(spark, sf_dir):
     """Epoch-by-epoch validation value of a linear score trained on net Sharpe."""
