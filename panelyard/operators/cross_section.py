@@ -141,7 +141,7 @@ def _rank_celled(df, keys, order, tie, section, limit, out, size):
                  F.sequence(F.lit(1), F.col("__p") - 1),
                  lambda i: F.get(F.col("__s"), F.floor(i * F.size("__s") / F.col("__p")).cast("int")),
              )).alias("__cuts")))
-    plan = attach(sizes, picks, keys, section.groups)
+    plan = attach(sizes, picks, keys, section.groups * cells_most)
     empty = F.array_compact(F.array(F.lit(None).cast(df.schema["__o"].dataType)))
     plan = materialise(plan.select(*keys, "__live", F.coalesce("__cuts", empty).alias("__cuts")),
                        "cuts")

@@ -21,11 +21,11 @@ def rank_normalise(df: DataFrame, cols: list[str], *, group: str = "yyyymm",
                    row_limit: int | None = None) -> DataFrame:
     """Map each column to its within-month average rank, rescaled to [-1, 1].
 
-    Months that fit a task are ranked column by column behind one exchange. Wider
+    Months whose rows times columns fit a task are ranked column by column behind one exchange. Wider
     months are ranked in long form, so every (feature, month) spreads over cells.
     """
     section = section or measure(df, [group])
-    if section.largest <= (ROW_LIMIT if row_limit is None else row_limit):
+    if section.largest * len(cols) <= (ROW_LIMIT if row_limit is None else row_limit):
         for c in cols:
             df = rank_within(df, [group], c, tie=asset, section=section,
                              average=f"_r_{c}", size=f"_n_{c}")
@@ -81,17 +81,23 @@ def split_binary(df: DataFrame, cols: list[str]) -> tuple[list[str], list[str]]:
 def winsorise(df: DataFrame, cols: list[str], *, group: str = "yyyymm", asset: str = "signalname",
               lower: float = 0.01, upper: float = 0.99, interpolation: str = "nearest",
               section: Section | None = None, row_limit: int | None = None) -> DataFrame:
-    """Clip columns at their within-month quantiles."""
+    """Clip columns at their within-month quantiles, all found in one long pass."""
     section = section or measure(df, [group])
-    for c in cols:
-        bounds = group_quantiles(df, [group], c, {"_lo": lower, "_hi": upper}, tie=asset,
-                                 section=section, interpolation=interpolation,
-                                 row_limit=row_limit)
-        df = attach(df, bounds, [group], section.groups)
-        v = F.col(c)
-        clipped = F.when(v.isNotNull(), F.greatest(F.least(v, F.col("_hi")), F.col("_lo")))
-        df = df.withColumn(c, clipped).drop("_lo", "_hi")
-    return df
+    long = df.select(asset, group, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [asset, group], cols, "_feature", "_value").where(F.col("_value").isNotNull())
+    bounds = group_quantiles(
+        long, [group, "_feature"], "_value", {"_lo": lower, "_hi": upper}, tie=asset,
+        section=Section(section.groups * len(cols), section.largest),
+        interpolation=interpolation, row_limit=row_limit)
+    per_month = bounds.groupBy(group).agg(F.map_from_entries(F.collect_list(
+        F.struct("_feature", F.struct("_lo", "_hi")))).alias("_bounds"))
+    df = attach(df, per_month, [group], section.groups * len(cols))
+
+    def clip(c: str):
+        v, b = F.col(c), F.try_element_at("_bounds", F.lit(c))
+        return F.when(v.isNotNull(), F.greatest(F.least(v, b["_hi"]), b["_lo"]))
+
+    return df.withColumns({c: clip(c) for c in cols}).drop("_bounds")
 
 
 def build_features(df: DataFrame, cols: list[str], *, section: Section | None = None,

@@ -131,7 +131,8 @@ def _scales_from_tops(rows, binding, keys, cap, over, groups, depth) -> DataFram
             .where(F.col("_k") <= depth).groupBy(*keys)
             .agg(F.sort_array(F.collect_list("weight"), asc=False).alias("_top")))
     least = F.element_at("_top", -1)
-    tail = (attach(rows, tops, keys, groups, how="inner").groupBy(*keys).agg(
+    wide = None if groups is None else groups * (depth + 1)  # a broadcast holds the arrays
+    tail = (attach(rows, tops, keys, wide, how="inner").groupBy(*keys).agg(
         F.first("_budget").alias("_budget"), F.first("_top").alias("_top"),
         F.coalesce(F.sum(F.when(w < least, w)), F.lit(0.0)).alias("_below"),
         F.sum((w == least).cast("long")).alias("_same")))

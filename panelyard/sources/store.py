@@ -20,14 +20,27 @@ from pyspark.sql.utils import AnalysisException
 BROADCAST_ROWS = 500_000
 
 _own_dirs: dict[str, str] = {}
+_owned: set[str] = set()
+
+
+def _own(spark: SparkSession, base: str) -> None:
+    """The application owns its stages: its file system removes them when it ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    _owned.add(base)
 
 
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder for stage tables; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
     sc = spark.sparkContext
+    if shared:
+        base = f"{shared.rstrip('/')}/stages-{sc.applicationId}"
+        if base not in _owned:
+            _own(spark, base)
+        return base
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = sc.applicationId
