@@ -314,6 +314,19 @@ def test_passages_by_every_run_of_fifty_words(spark, rows):
             assert max(len(five[i] & five[j]) for j in five if j != i) >= 41
 
 
+def test_shuffled_matches_are_compared_without_error():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 40, 120).astype(np.uint64)
+        parts = np.array_split(a, int(rng.integers(2, 6)))
+        far = rng.integers(0, 1 << 40, 500).astype(np.uint64)
+        b = np.concatenate([x for i in rng.permutation(len(parts)) for x in (parts[i], far)])
+        for s, e, bs, be in passages.passages(a, b):
+            assert e - s >= 50 and be > bs
+    text = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+    assert passages.passages(text, text) == [(0, 304, 0, 304)]
+
+
 def test_compact_windows_cover_every_long_stretch():
     rng = np.random.default_rng(4)
     for top in (5, 1 << 40):
