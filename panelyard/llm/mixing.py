@@ -17,6 +17,8 @@ rows are documents of their own; reruns agree, whatever the partitions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ SHARE, REPEATS = 1.5, 2.0
 BLOCK = 1024               # words a slot reads
 GOLDEN = 0.6180339887498949
 CELLS = 1024               # of the line of cumulative weights, for an equality join
-CHUNK = 4096               # slots ranked together
+CHUNK = 64                 # slots ranked together, at least; else the root of their number
 PREFIX_ROWS = 1_000_000    # documents up to which two digits of the digest make buckets
 
 
@@ -97,6 +99,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     line = need.withColumn("hi", F.sum("k").over(upto) / F.lit(float(max(n, 1))))
     line = materialise(line.withColumn("lo", F.col("hi") - F.col("k") / F.lit(float(max(n, 1)))),
                        "mix-line")
+    chunk = max(CHUNK, math.isqrt(n))  # as many chunks as slots in one
     cell = F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
     cells = line.select("source", "lo", "hi", F.explode(F.sequence(
         F.floor(F.col("lo") * CELLS), F.greatest(cell, F.floor(F.col("lo") * CELLS)))).alias("cell"))
@@ -104,7 +107,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     slots = spark.range(n).select(F.col("id").alias("slot")).withColumn(
         "x", point - F.floor(point)).withColumn("cell", F.floor(F.col("x") * CELLS))
     drawn = slots.join(cells, "cell").where("x >= lo and x < hi").select(
-        "slot", "source", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+        "slot", "source", F.floor(F.col("slot") / chunk).alias("chunk"))
     per = drawn.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1)
