@@ -327,6 +327,21 @@ def test_shuffled_matches_are_compared_without_error():
     assert passages.passages(text, text) == [(0, 304, 0, 304)]
 
 
+def test_exact_passages_whose_shingles_also_occur_just_before():
+    rng = np.random.default_rng(9)
+    for at in range(0, 56, 5):
+        for gap in (15, 30, 45):
+            run = rng.integers(0, 1 << 40, 56).astype(np.uint64)
+            a, b, rest = (rng.integers(0, 1 << 40, n).astype(np.uint64) for n in (90, gap, 90))
+            early = np.concatenate([run[at:at + 1], b])
+            got = passages.passages(np.concatenate([a, run, a[::-1] + np.uint64(1)]),
+                                    np.concatenate([early, run, rest]))
+            assert got == [(90, 150, len(early), len(early) + 60)]
+    two = np.concatenate([run, a[:56]])  # neighbours in one text, apart and turned in the other
+    assert sorted(x[:2] for x in passages.passages(two, np.concatenate([a[:56], rest, run]))) == [
+        (0, 60), (56, 116)]
+
+
 def test_compact_windows_cover_every_long_stretch():
     rng = np.random.default_rng(4)
     for top in (5, 1 << 40):
