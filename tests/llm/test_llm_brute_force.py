@@ -342,6 +342,37 @@ def test_exact_passages_whose_shingles_also_occur_just_before():
         (0, 60), (56, 116)]
 
 
+def test_passages_around_a_phrase_many_texts_hold_alone(spark):
+    rng = np.random.default_rng(10)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    def at_phrase(core, salt):  # the smallest shingle lies within the phrase
+        h = passages._mixed(passages._runs(passages.word_hashes(" ".join(core).encode()), 5), salt)
+        return 22 <= int(h.argmin()) < 38
+
+    found = 0
+    phrase = words(36)
+    texts, pairs = [], []
+    while found < 12:
+        core = words(12) + phrase + words(12)
+        if all(at_phrase(core, salt) for salt in range(1, passages.HASHES + 1)):
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [words(60) + core + words(60) for _ in range(2)]
+            found += 1
+        elif not found:
+            phrase = words(36)
+    texts += [words(60) + phrase + words(60) for _ in range(60)]
+    order = rng.permutation(len(texts))
+    df = spark.createDataFrame([(int(i), " ".join(texts[i])) for i in order], "doc_id long, text string")
+    got = by_id(passages.repeated_passages(df))
+    for a, b in pairs:
+        assert got.loc[a].class_id == got.loc[b].class_id == a
+        assert any(s.start <= 60 and s.end >= 120 for s in got.loc[b].spans)
+    assert all(got.loc[i].class_id == i for i in range(24, len(texts)))
+
+
 def test_compact_windows_cover_every_long_stretch():
     rng = np.random.default_rng(4)
     for top in (5, 1 << 40):
