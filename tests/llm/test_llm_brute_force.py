@@ -373,6 +373,47 @@ def test_passages_around_a_phrase_many_texts_hold_alone(spark):
     assert all(got.loc[i].class_id == i for i in range(24, len(texts)))
 
 
+def edited(rng, words, least):
+    """Near copy by substitutions, insertions and deletions, as far as ``least`` allows."""
+    def runs(w):
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    now = list(words)
+    for _ in range(60):
+        new, i = list(now), int(rng.integers(1, len(now) - 1))
+        kind = rng.integers(0, 3)
+        new[i:i + int(kind < 2)] = [f"x{rng.integers(1 << 40)}"] * int(kind > 0)
+        one, two = runs(words), runs(new)
+        if len(one & two) < least * len(one | two) or len(new) < 50:
+            break
+        now = new
+    return now
+
+
+def test_near_copies_of_edited_passages_are_found():
+    rng = np.random.default_rng(12)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    def files(raw):
+        w = passages.windows_of(raw)
+        return {(side, k, x) for side in ("before", "after") for k, x in zip(w["key"], w[side]) if x}
+
+    for size in (51, 60, 100, 200):
+        met = kept = 0
+        for i in range(1000):
+            core, least = words(size), (0.8, 0.8, 0.9, 1.0)[i % 4]
+            pair = [" ".join(words(60) + x + words(60)).encode()
+                    for x in (core, edited(rng, core, least))]
+            together = bool(files(pair[0]) & files(pair[1]))
+            runs = [passages._runs(passages.word_hashes(x), 5) for x in pair]
+            met += together
+            kept += together and bool(passages.passages(*runs))
+        print("words", size, "candidates", met / 1000, "found", kept / 1000)
+        assert met >= 998 and kept >= 995
+
+
 def test_compact_windows_cover_every_long_stretch():
     rng = np.random.default_rng(4)
     for top in (5, 1 << 40):
