@@ -177,6 +177,37 @@ def test_kneser_ney_by_definition(spark):
     assert np.allclose(got[:, 1], [nats(w) for w in words], rtol=1e-4)
 
 
+def remainder(i):
+    return zlib.crc32(str(i).encode()) % 4
+
+
+def test_foreign_and_random_texts_are_rejected(spark, rows):
+    rng = np.random.default_rng(3)
+
+    def letters(n):
+        return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 10))))
+                        for _ in range(n))
+
+    docs = [(int(i), t, x) for i, t, x in zip(rows["doc_id"], rows["text"], rows["lang"])]
+    spare = iter(i for i in range(1 << 30, 1 << 31) if remainder(i) == 3)
+    docs += [(next(spare), letters(60), x) for x in ("de", "en", "es", "fr")]  # garbled, labelled
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    strange = [letters(int(n)) for n in rng.integers(6, 80, 40)] + [
+        "ja se jmenuji jan a bydlím v praze, kde pracuji jako učitel a rád čtu knihy",
+        "minä olen suomalainen ja asun helsingissä jossa työskentelen opettajana",
+        "это русский текст о погоде и природе в москве зимой",
+        "ben türkiyede yaşıyorum ve istanbulda öğretmen olarak çalışıyorum"]
+    short = [(t[:n].rsplit(" ", 1)[0], x) for t, x, i in zip(rows["text"], rows["lang"], rows["doc_id"])
+             for n in (40, 80) if remainder(i) == 2 and re.fullmatch(r"[^\W\d_][\w\s.,]{80,}", t[:90] or "")
+             and not re.search(r"\d|license|token", t[:90])]
+    assert {x for _, x in short} == {"de", "en", "es", "fr"}
+    texts = strange + [t for t, _ in short]
+    got = by_id(langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                               model))["rejected"]
+    assert all(got.loc[i] for i in range(len(strange)))
+    assert not any(got.loc[i] for i in range(len(strange), len(texts)))
+
+
 def test_prefix_fingerprints(spark, rows):
     got = by_id(queries.QUERIES["op4_prefix_fingerprints"](spark, SF))
     docs = rows.sort_values("doc_id", ascending=False).reset_index(drop=True)
