@@ -208,6 +208,20 @@ def test_foreign_and_random_texts_are_rejected(spark, rows):
     assert not any(got.loc[i] for i in range(len(strange), len(texts)))
 
 
+def test_rows_beyond_the_calibration_sample_are_counted(spark, monkeypatch):
+    third = [i for i in range(4_000) if remainder(i) == 3]
+    first = [i for i in range(4_000) if remainder(i) < 2]
+    docs = [(i, "aba bab abba", "en") for i in first[:200]]
+    docs += [(i, "aba bab qqqzz", "en") for i in third[:500]]
+    docs += [(i, "lolo mumu lomu", "xx") for i in third[500:503]]
+    monkeypatch.setattr(langid, "CALIBRATED", 50)
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "xx"]
+    nats = model.words(["qqqzz", "lolo"])[:, 1:]
+    assert nats[0, 0] < nats[0, 1] and nats[1, 1] < nats[1, 0]
+    assert nats[0, 0] < 10
+
+
 def test_prefix_fingerprints(spark, rows):
     got = by_id(queries.QUERIES["op4_prefix_fingerprints"](spark, SF))
     docs = rows.sort_values("doc_id", ascending=False).reset_index(drop=True)
