@@ -222,6 +222,24 @@ def test_rows_beyond_the_calibration_sample_are_counted(spark, monkeypatch):
     assert nats[0, 0] < 10
 
 
+def test_large_models_are_whole(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(int(i), t, x) for i, t, x in zip(
+        rows["doc_id"][:300], rows["text"], rows["lang"])] + [(7, "same id", "en"), (7, "same id", "en"),
+                                                              (None, None, None)],
+        "doc_id long, text string, lang string")
+    order = ["doc_id", "lang_pred", "score", "rejected"]
+    small = langid.identify(df).toPandas().sort_values(order).reset_index(drop=True)
+    kept = sorted(map(str, langid.known_only(df, langid.fit(df)).collect()))
+    monkeypatch.setattr(langid, "CELLS", 2_000)
+    large = langid.identify(df).toPandas().sort_values(order).reset_index(drop=True)
+    assert len(large) == len(small) == 303
+    for c in ("lang_pred", "rejected", "held_out"):
+        assert (large[c] == small[c]).all()
+    for c in ("score", "cross_entropy"):
+        assert np.allclose(large[c], small[c], rtol=1e-6)
+    assert sorted(map(str, langid.known_only(df, langid.fit(df)).collect())) == kept
+
+
 def test_prefix_fingerprints(spark, rows):
     got = by_id(queries.QUERIES["op4_prefix_fingerprints"](spark, SF))
     docs = rows.sort_values("doc_id", ascending=False).reset_index(drop=True)
