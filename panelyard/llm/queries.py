@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import (bpe, chat, fingerprint, langid, mixing, passages, pii, quality,
-                            simhash, token_counts)
+from panelyard.llm import (alignment, bpe, chat, fingerprint, langid, mixing, passages, pii,
+                           quality, simhash, token_counts)
 from panelyard.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op4_prefix_fingerprints(spark, sf_dir):
 @query
 def op7_repeated_passages(spark, sf_dir):
     return passages.repeated_passages(documents(spark, sf_dir))
+
+
+@query
+def op11_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(documents(spark, sf_dir))
