@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelyard.llm import (alignment, bpe, chat, fingerprint, langid, mixing, passages, pii,
-                           quality, simhash, token_counts)
+                           prefix_trie, quality, simhash, token_counts)
 from panelyard.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op7_repeated_passages(spark, sf_dir):
 @query
 def op11_tokenizer_alignment(spark, sf_dir):
     return alignment.align(documents(spark, sf_dir))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -92,3 +92,42 @@ select doc_id, size, source_size, target,
    + greatest(0, least(start + size, words - source_size) - start))::bigint as taken
 from p
 """
+
+
+def _crc32(number: str) -> str:
+    """Unsigned CRC-32 of a number in figures."""
+    bit = "lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    byte = f"list_reduce(list_concat([xor(a, b)], [0::bigint for i in range(8)]), {bit})"
+    codes = f"list_transform(string_split({number}::varchar, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+ORACLE["op12_prefix_trie"] = rf"""
+with t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           where conv_id is not null),
+s as (select c, list(substring(sha256(length(role)::varchar || ':' || role || ':' || text), 1, 32)
+                     order by turn nulls first, sha256(length(role)::varchar || ':' || role || ':' || text)) as turns
+      from t group by c),
+w as (select substring(sha256(length(role)::varchar || ':' || role || ':' || text), 1, 32) as turn,
+             max(len(list_filter(string_split_regex(text, '{GAPS}'), lambda x: x <> ''))) as words
+      from t group by 1),
+r as (select s.c, list_concat(coalesce(d.turns, [])[1:h], s.turns[h + 1:]) as turns
+      from (select *, {_crc32('c')} % 4 as h from s) s left join s d on d.c = s.c - s.c % 20),
+p as (select c, d, turns[1:d] as node, len(turns) = d as ends from (
+          select *, unnest(range(0, len(turns) + 1)) as d from r)),
+n as (select node, d, min(c) as conv_id, count(*) as n_convs,
+             sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256
+      from p group by node, d),
+own as (select n.*, case when d = 0 then 0 else (n_convs - 1) * coalesce(w.words, 0) end as saved
+        from n left join w on w.turn = n.node[d]),
+kids as (select node[1:d - 1] as node, d - 1 as d, count(*) as k from n where d > 0 group by all),
+up as (select own.node[1:a] as node, a as d, sum(saved) as saved_tokens,
+              count(*) filter (kids.k is null) as n_leaves
+       from (select *, unnest(range(0, d + 1)) as a from own) own left join kids
+            on kids.node = own.node and kids.d = own.d group by 1, 2)
+select own.conv_id, own.d as depth, above.conv_id as parent_conv_id, own.n_convs,
+       coalesce(kids.k, 0) as n_children, up.n_leaves, up.saved_tokens::bigint as saved_tokens, own.ends_sha256
+from own join up on up.node = own.node and up.d = own.d
+left join kids on kids.node = own.node and kids.d = own.d
+left join n above on above.node = own.node[1:own.d - 1] and above.d = own.d - 1
+"""
