@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import (alignment, bpe, chat, fingerprint, langid, mixing, passages, pii,
-                           prefix_trie, quality, simhash, token_counts)
+from panelyard.llm import (alignment, attention, bpe, chat, fingerprint, langid, mixing, passages,
+                           pii, prefix_trie, quality, simhash, token_counts)
 from panelyard.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op11_tokenizer_alignment(spark, sf_dir):
 @query
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op13_quality_attention(spark, sf_dir):
+    return attention.quality_scores(documents(spark, sf_dir),
+                                    spark.read.parquet(f"{sf_dir}/labels.parquet"))
