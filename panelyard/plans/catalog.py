@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from panelyard.config import Costs, Portfolio, Settings, Split, Training, Universe
+from panelyard.config import Costs, Portfolio, Settings, Split, Universe
 from panelyard.functions.months import month_index
 from panelyard.operators import accounting, folds, inference, learners, objectives, transforms
 from panelyard.operators import trailing, turnover, universe, weights
 from panelyard.operators.cross_section import Section, measure
 from panelyard.operators.metadata import attach_metadata, common_levels
-from panelyard.operators.objective_fit import fit_linear_objective
 from panelyard.plans import oracle, tables
 from panelyard.plans.oracle import drawdowns, performance, r, statement, t_stat
 from panelyard.plans.panel import build_panel
@@ -1416,36 +1415,4 @@ def ensemble_average(spark, sf_dir):
     return out(averaged)
 
 
-def _feature_panel(spark, sf_dir):
-    panel = panel_stage(spark, sf_dir)
-    built, names = transforms.build_features(panel, list(universe.feature_columns(panel)))
-    return materialise(built, "features"), names
-
-
-@query("walk_forward_all_baselines")
-def walk_forward_all_baselines(spark, sf_dir):
-    """Every baseline but the trees on every fold and feature; some have no SQL form."""
-    panel, names = _feature_panel(spark, sf_dir)
-    specs = [learners.ModelSpec(n) for n in learners.BASELINES if n != "gbrt"]
-    specs.append(learners.ModelSpec("lin_mse", "linear", loss="mse"))
-    preds, _, _ = run_walk_forward(panel, names, SETTINGS, specs)
-    return out(preds, "signalname", "yyyymm", "fold", "model", "score")
-
-
-@query("walk_forward_gbrt")
-def walk_forward_gbrt(spark, sf_dir):
-    """Boosted trees on every fold and feature, up to 2000 rounds with patience."""
-    panel, names = _feature_panel(spark, sf_dir)
-    preds, _, _ = run_walk_forward(panel, names, SETTINGS, [learners.ModelSpec("gbrt")])
-    return out(preds, "signalname", "yyyymm", "fold", "model", "score")
-
-
-@query("linear_objective_fit")
-def linear_objective_fit(spark, sf_dir):
-    """Epoch-by-epoch validation value of a linear score trained on net Sharpe."""
-    panel, names = _feature_panel(spark, sf_dir)
-    early, late = F.col("yyyymm") < 200001, F.col("yyyymm") >= 200001
-    fit = fit_linear_objective(panel.where(early), panel.where(late), names, "sharpe",
-                               Training(max_epochs=4, patience=2, window_months=24, lr=0.05),
-                               SETTINGS.costs)
-    return spark.createDataFrame(fit.history, "epoch int, val_loss double")
+from panelyard.plans import learner_queries  # noqa: E402,F401  (registers more queries)
