@@ -23,12 +23,12 @@ HEADLINE = (
     "statistical_table", "economic_table", "cost_sensitivity", "alpha_vs_benchmark",
     "factor_alpha", "decay_analysis", "tilt_by_cost", "tilt_by_category", "walk_forward_folds",
     "densify", "objective_sharpe", "baseline_fits", "ensemble_average", "capacity_comparison",
-    "walk_forward_all_baselines", "linear_objective_fit",
+    "walk_forward_all_baselines", "linear_objective_gradient", "boosted_trees",
 )
 STAGES = {
     "stage_turnover": catalog.turnover_stage, "stage_panel": catalog.panel_stage,
     "stage_predictions": catalog.prediction_stage, "stage_book": catalog.book_stage,
-    "stage_monthly": catalog.monthly_stage,
+    "stage_monthly": catalog.monthly_stage, "stage_schemes": catalog.schemes_stage,
 }
 
 

@@ -54,11 +54,6 @@ class Portfolio:
 @dataclass(frozen=True)
 class Training:
     seed: int = 0
-    max_epochs: int = 120
-    patience: int = 15
-    window_months: int = 32
-    lr: float = 1e-3
-    weight_decay: float = 1e-5
 
 
 @dataclass(frozen=True)

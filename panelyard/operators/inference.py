@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelyard.config import MAX_MONTHS
 from panelyard.functions.scalars import finite, pearson, sharpe
 from panelyard.operators.cross_section import Section, measure, rank_within
-from panelyard.sources.store import attach
+from panelyard.sources.store import attach, materialise
 
 MONTHS = 12
 FACTORS = ("mktrf", "smb", "hml", "rmw", "cma", "umd")
@@ -180,29 +180,49 @@ def subperiod_table(monthly: DataFrame, breaks: tuple[int, ...] = (200001, 20100
 
 
 # --------------------------------------------------------------- regressions
-def _hac_ols(y: np.ndarray, x: np.ndarray, lags: int):
-    """Least squares with HAC t values; terms that the data cannot tell apart are NaN."""
-    scale = np.sqrt((x * x).sum(axis=0))
+def _sums_of(products: list[Column]) -> Column:
+    return F.array(*[F.coalesce(F.sum(p), F.lit(0.0)) for p in products])
+
+
+def _estimates(k: int):
+    """Solves from one row of sums per series: coefficients, HAC t and r2, terms in order.
+
+    A row has x'x, x'y and y's spread, and the score products x_t e_t e_s x_s' added up lag by lag in weights.
+    """
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for keys, xx, xy, n, spread, rss, score in zip(
+                pdf["keys"], pdf["xx"], pdf["xy"], pdf["n"], pdf["spread"], pdf["rss"], pdf["score"]):
+            coef, inverse, free = _from_products(np.reshape(xx, (k, k)), np.asarray(xy))
+            s = np.reshape(score, (k, k))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = coef / np.sqrt(np.diag(inverse @ s @ inverse))
+            r2 = 1 - rss / spread if spread else float("nan")
+            if n <= k:
+                coef, t, r2 = np.full(k, np.nan), np.full(k, np.nan), float("nan")
+            t = np.where(free | ~np.isfinite(t), np.nan, t)
+            out.append((keys, np.where(free, np.nan, coef), t, n, r2))
+        return pd.DataFrame(out, columns=["keys", "coef", "t", "n", "r2"])
+    return solve
+
+
+def _from_products(xx: np.ndarray, xy: np.ndarray):
+    """Coefficients, the inverse of x'x, and which terms the data cannot tell apart."""
+    scale = np.sqrt(np.diag(xx).clip(0))
     scale[scale == 0] = 1.0
-    values, vectors = np.linalg.eigh((x / scale).T @ (x / scale))
-    live = values > 1e-10 * values.max()
+    values, vectors = np.linalg.eigh(xx / np.outer(scale, scale))
+    live = values > 1e-10 * max(values.max(initial=0), 1e-300)
     free = (vectors[:, ~live] ** 2).sum(axis=1) > 1e-8
-    inverse = (vectors[:, live] / values[live]) @ vectors[:, live].T
-    xtx = inverse / np.outer(scale, scale)
-    coef = xtx @ (x.T @ y)
-    resid = y - x @ coef
-    u = x * resid[:, None]
-    s = u.T @ u
-    for lag in range(1, min(lags, len(u) - 1) + 1):
-        g = u[lag:].T @ u[:-lag]
-        s += (1 - lag / (lags + 1)) * (g + g.T)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = coef / np.sqrt(np.diag(xtx @ s @ xtx))
-    t = np.where(free | ~np.isfinite(t), np.nan, t)
-    named = np.where(free, np.nan, coef)
-    centred = y - y.mean()
-    total = centred @ centred
-    return named, t, 1 - (resid @ resid) / total if total else float("nan")
+    inverse = ((vectors[:, live] / values[live]) @ vectors[:, live].T) / np.outer(scale, scale)
+    return inverse @ xy, inverse, free
+
+
+def _coefficients(k: int):
+    @F.pandas_udf("array<double>")
+    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        return pd.Series([_from_products(np.reshape(a, (k, k)), np.asarray(b))[0].tolist()
+                          for a, b in zip(xx, xy)])
+    return solve
 
 
 def factor_regression(returns: DataFrame, factors: DataFrame, *, cols: list[str] | None = None,
@@ -210,38 +230,60 @@ def factor_regression(returns: DataFrame, factors: DataFrame, *, cols: list[str]
                       lags: int = 6) -> DataFrame:
     """Long table (series, term, coef, t, p, r2, n) of returns on factors.
 
-    Each series is a calendar-bounded handful of rows, so the solve is a grouped
-    function; the constant is annualised. Terms that are not identified (a constant or
-    collinear factor) have NULL estimates; a series of no more months than terms has
-    NULL in all of them.
+    Products of the terms, then of the residual scores with those of up to ``lags`` months before, are sums
+    by series with map-side combine; only these sums, a K x K handful per series, are solved in Python.
+    The constant is annualised. Terms that are not identified (a constant or collinear
+    factor) have NULL estimates; a series of no more months than terms has NULL in all of them.
     """
     cols = cols or [c for c in FACTORS if c in factors.columns]
-    joined = returns.select(*series, "yyyymm", F.col(value).alias("_y")).join(
-        F.broadcast(factors.select("yyyymm", *cols).dropDuplicates(["yyyymm"])), "yyyymm"
-    ).dropna(subset=["_y", *cols])
-    terms = ["const", *cols]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("yyyymm")
-        if len(pdf) <= len(terms):
-            out = pd.DataFrame({"term": terms, "coef": None, "t": None, "p": None, "r2": None,
-                                "n": len(pdf)})
-            for s in series:
-                out.insert(0, s, pdf[s].iloc[0])
-            return out
-        x = np.column_stack([np.ones(len(pdf)), pdf[cols].to_numpy(float)])
-        coef, t, r2 = _hac_ols(pdf["_y"].to_numpy(float), x, lags)
-        coef = coef * np.where(np.arange(len(terms)) == 0, MONTHS, 1)
-        p = [math.erfc(abs(v) / math.sqrt(2)) for v in t]
-        out = pd.DataFrame({"term": terms, "coef": coef, "t": t, "p": p, "r2": r2, "n": len(pdf)})
-        for s in series:
-            out.insert(0, s, pdf[s].iloc[0])
-        return out
-
-    fields = ", ".join(f"{s} string" for s in series)
-    schema = f"{fields}, term string, coef double, t double, p double, r2 double, n long"
-    table = joined.groupBy(*series).applyInPandas(fit, schema)
-    return table.withColumns({c: finite(F.col(c)) for c in ("coef", "t", "p", "r2")})
+    keys = list(series)
+    terms, k = ["const", *cols], len(cols) + 1
+    given = factors.select("yyyymm", *[F.col(c).cast("double").alias(f"_x{i + 1}") for i, c in enumerate(cols)])
+    rows = returns.select(*keys, "yyyymm", F.col(value).cast("double").alias("_y")).join(
+        F.broadcast(given.dropDuplicates(["yyyymm"])), "yyyymm").dropna(
+        subset=["_y", *[f"_x{i}" for i in range(1, k)]]).withColumn("_x0", F.lit(1.0))
+    rows = materialise(rows, "regression")       # read for the products and for the scores
+    x = [F.col(f"_x{i}") for i in range(k)]
+    y = F.col("_y")
+    products = rows.groupBy(*keys).agg(
+        _sums_of([a * b for a in x for b in x]).alias("xx"), _sums_of([a * y for a in x]).alias("xy"),
+        F.count(y).alias("n"), (F.var_pop(y) * F.count(y)).alias("spread"))
+    fitted = products.withColumn("_b", _coefficients(k)("xx", "xy"))
+    resid = y - sum((F.get("_b", i) * x[i] for i in range(k)), F.lit(0.0))
+    scored = rows.join(fitted.select(*keys, "_b"), keys).withColumn("_e", resid)
+    own = Window.partitionBy(*keys).orderBy("yyyymm")       # months, by the calendar
+    now = [F.col(f"_u{i}") for i in range(k)]
+    scored = scored.withColumns({f"_u{i}": x[i] * F.col("_e") for i in range(k)})
+    past = {f"_p{i}": sum((2.0 * (1 - lag / (lags + 1.0)) * F.coalesce(F.lag(f"_u{i}", lag).over(own), F.lit(0.0))
+                           for lag in range(1, lags + 1)), now[i]) for i in range(k)}
+    scored = scored.withColumns(past)
+    one_way = scored.groupBy(*keys).agg(
+        _sums_of([now[i] * F.col(f"_p{j}") for i in range(k) for j in range(k)]).alias("_s"),
+        F.sum(F.col("_e") * F.col("_e")).alias("rss"))
+    # A lag counts once from each side.
+    mirrored = F.array(*[(F.get("_s", i * k + j) + F.get("_s", j * k + i)) / 2.0
+                         for i in range(k) for j in range(k)])
+    sums = products.join(one_way.select(*keys, "rss", mirrored.alias("score")), keys)
+    named = sums.select(F.struct(*keys).alias("keys"), "xx", "xy", "n", "spread", "rss", "score")
+    kinds = ", ".join(f"{c}: {dict(sums.dtypes)[c]}" for c in keys)
+    solve = _estimates(k)
+    solved = named.mapInPandas(
+        lambda frames: map(solve, frames),
+        f"keys struct<{kinds}>, coef array<double>, t array<double>, n long, r2 double")
+    names = F.array(*[F.lit(t) for t in terms])
+    long = solved.select("keys.*", "n", finite(F.col("r2")).alias("r2"), F.posexplode(F.arrays_zip(
+        names.alias("term"), "coef", "t")).alias("_i", "_e"))
+    t = finite(F.col("_e.t"))
+    annual = F.when(F.col("_i") == 0, float(MONTHS)).otherwise(1.0)
+    return long.select(*keys, "_e.term", (finite(F.col("_e.coef")) * annual).alias("coef"), t.alias("t"),
+                       _two_sided(t).alias("p"), "r2", "n")
+
+
+def _two_sided(t: Column) -> Column:
+    @F.pandas_udf("double")
+    def tail(v: pd.Series) -> pd.Series:
+        return v.map(lambda z: math.erfc(abs(z) / math.sqrt(2)), na_action="ignore")
+    return tail(t)
 
 
 def alpha_vs_benchmark(returns: DataFrame, *, bench: str = "equal_weight", value: str = "net",

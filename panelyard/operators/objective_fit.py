@@ -1,94 +1,78 @@
-"""A linear score trained on any objective, including net-of-cost ones.
+"""Linear scores under any objective: values and gradients for many coefficient vectors at once.
 
-One epoch is one distributed gradient (see ``objectives.score_gradient``) and one
-validation pass; the driver only steps a K-vector.
+Fold, model and window are keys of one set of rows, so a single pass gives the gradient of every fold,
+model and objective: the part of a training step that is as large as the data. What steps the
+coefficients from there is not built.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.config import Costs, Training
-from panelyard.operators.cross_section import Section, measure
-from panelyard.operators.folds import distinct_months, month_windows, window_rows
-from panelyard.operators.objectives import CELL, evaluate_objective, score_gradient
+from panelyard.config import Costs
+from panelyard.operators.cross_section import measure
+from panelyard.operators.folds import month_windows, window_rows
+from panelyard.operators.objectives import cell_of, evaluate_objective, score_gradient
 from panelyard.sources.store import materialise
 
 
-@dataclass
-class ObjectiveFit:
-    beta: np.ndarray
-    best_epoch: int
-    best_val: float
-    history: list[tuple[int, float]]
-
-
-def training_rows(panel: DataFrame, features: list[str], length: int, stride: int | None,
-                  target: str = "ret_next_dm", costs: Costs = Costs()) -> DataFrame:
-    """Window rows with features, target and costs as the objectives expect them."""
-    windows = month_windows(distinct_months(panel), length, stride)
-    carry = (F.col("carry_cost") if "carry_cost" in panel.columns
-             else F.lit(costs.spread_bps / 1e4))
+def training_rows(panel: DataFrame, features: list[str], folds: DataFrame, length: int,
+                  stride: int | None = None, role: str = "train", target: str = "ret_next_dm",
+                  costs: Costs = Costs()) -> DataFrame:
+    """(fold, window, pos, signalname, y, carry, switch, x): each fold's months of ``role`` in windows."""
+    months = folds.where(F.col("role") == role).select("fold", "yyyymm")
+    labels = [r["fold"] for r in months.select("fold").distinct().orderBy("fold").collect()]  # by calendar
+    if not labels:
+        raise ValueError(f"no fold has months of role {role!r}")
+    windows = reduce(DataFrame.unionByName, [
+        month_windows(months.where(F.col("fold") == f).select("yyyymm"), length, stride)
+        .withColumn("fold", F.lit(f)) for f in labels])
+    carry = (F.col("carry_cost") if "carry_cost" in panel.columns else F.lit(costs.spread_bps / 1e4))
     zero = F.lit(0.0)
-    rows = panel.select("yyyymm", "signalname", F.coalesce(F.col(target), zero).alias("y"),
-                        carry.alias("carry"), F.lit(2 * costs.switch_bps / 1e4).alias("switch"),
-                        *[F.coalesce(F.col(c).cast("double"), zero).alias(c) for c in features])
-    return window_rows(rows, windows)
-
-
-def scored(rows: DataFrame, features: list[str], beta: np.ndarray) -> DataFrame:
-    """Coefficients come as a one-row table, so every epoch reuses compiled code."""
-    names = [f"_b{i}" for i in range(len(features))]
-    one = rows.sparkSession.createDataFrame(
-        [[float(b) for b in beta]], ", ".join(f"{n} double" for n in names))
-    dot = sum((F.col(c) * F.col(n) for c, n in zip(features, names)), F.lit(0.0))
-    return rows.crossJoin(F.broadcast(one)).withColumn("score", dot).drop(*names)
-
-
-def fit_linear_objective(train: DataFrame, val: DataFrame, features: list[str], name: str,
-                         training: Training = Training(), costs: Costs = Costs(),
-                         target: str = "ret_next_dm", row_limit: int | None = None
-                         ) -> ObjectiveFit:
-    """Full-batch AdamW on the mean window gradient, stopped on the validation value
-    of the same objective."""
-    length = training.window_months
-    rows = materialise(training_rows(train, features, length, None, target, costs), "train")
-    held = materialise(training_rows(val, features, length, length, target, costs), "val")
-    section, val_section = measure(rows, CELL), measure(held, CELL)
-    n_windows = rows.select("window").distinct().count()
-
-    rng = np.random.default_rng(training.seed)
-    beta = rng.normal(0.0, 1e-2, len(features))  # ties have no tilt to improve on
-    m, v = np.zeros_like(beta), np.zeros_like(beta)
-    best = ObjectiveFit(beta.copy(), -1, float("inf"), [])
-    waited = 0
-    for epoch in range(training.max_epochs):
-        grad = _gradient(rows, features, beta, name, n_windows, section, row_limit)
-        norm = np.linalg.norm(grad)
-        grad = grad / max(norm, 1.0)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
-        rate = training.lr * 0.5 * (1 + np.cos(np.pi * epoch / training.max_epochs))
-        beta = beta * (1 - rate * training.weight_decay) - rate * step
-        loss = evaluate_objective(scored(held, features, beta), name, section=val_section,
-                                  row_limit=row_limit).first()["loss"]
-        best.history.append((epoch, loss))
-        if loss is not None and loss < best.best_val - 1e-6:
-            best.beta, best.best_epoch, best.best_val, waited = beta.copy(), epoch, loss, 0
-        else:
-            waited += 1
-            if waited >= training.patience:
-                break
-    return best
-
-
-def _gradient(rows, features, beta, name, n_windows, section: Section, row_limit):
-    lit_up = score_gradient(scored(rows, features, beta), name, section=section,
-                            row_limit=row_limit)
-    sums = lit_up.agg(*[F.sum(F.col(c) * F.col("ds")).alias(f"g{i}")
-                        for i, c in enumerate(features)]).first()
-    return np.array([s or 0.0 for s in sums]) / max(n_windows, 1)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), zero) for c in features])
+    rows = panel.select("yyyymm", "signalname", F.coalesce(F.col(target), zero).alias("y"), carry.alias("carry"),
+                        F.lit(2 * costs.switch_bps / 1e4).alias("switch"), x.alias("x"))
+    return window_rows(rows, windows).drop("yyyymm")
+
+
+def scored(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Rows once per coefficient vector of their fold (fold, model, beta), with ``model`` naming both.
+
+    The coefficients are folds x models rows.
+    """
+    dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    both = rows.join(F.broadcast(coefficients.withColumnRenamed("model", "_m")), "fold")
+    return both.withColumns({"score": dot, "model": F.concat_ws("/", "fold", "_m")}).drop("beta", "_m", "fold")
+
+
+def linear_gradients(rows: DataFrame, features: list[str], coefficients: DataFrame, names, *,
+                     row_limit: int | None = None, **options) -> DataFrame:
+    """(fold, model, objective, feature, gradient): derivative of the mean window loss to each coefficient."""
+    lit = materialise(scored(rows, coefficients), "scored")
+    section = measure(lit, cell_of(lit))
+    windows = lit.groupBy("model").agg(F.count_distinct("window").alias("_windows"))
+    out = []
+    for name in names:
+        slopes = score_gradient(lit, name, section=section, row_limit=row_limit, **options)
+        sums = slopes.groupBy("model").agg(*[
+            F.sum(F.get("x", i) * F.col("ds")).alias(f"g{i}") for i in range(len(features))])
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"g{i}").alias("g"))
+                                    for i, c in enumerate(features)]))
+        out.append(sums.join(windows, "model").select("model", F.lit(name).alias("objective"),
+                                                      pairs.alias("p"), "_windows"))
+    place = F.split("model", "/", 2)
+    return reduce(DataFrame.unionByName, out).select(
+        F.get(place, 0).alias("fold"), F.get(place, 1).alias("model"), "objective", "p.feature",
+        (F.col("p.g") / F.col("_windows")).alias("gradient"))
+
+
+def linear_values(rows: DataFrame, coefficients: DataFrame, names, **options) -> DataFrame:
+    """(fold, model, objective, loss, n_months) of each coefficient vector."""
+    lit = materialise(scored(rows, coefficients), "scored")
+    place = F.split("model", "/", 2)
+    return reduce(DataFrame.unionByName, [
+        evaluate_objective(lit, name, **options).withColumn("objective", F.lit(name)) for name in names]).select(
+        F.get(place, 0).alias("fold"), F.get(place, 1).alias("model"), "objective", "loss", "n_months")

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.operators import boosting, folds, learners, objectives, transforms, universe
+from panelyard.operators import boosting, learners, objectives, transforms, universe
 from panelyard.operators.boosting import Boosting
-from panelyard.plans.catalog import (_FOLD_PARTS, _folds, _unit_rank_sql, SETTINGS, out, panel_stage,
-                                     query, stage)
+from panelyard.operators.objective_fit import linear_gradients, training_rows
+from panelyard.plans.catalog import (_FOLD_PARTS, _OBJ_PARTS, _folds, _unit_rank_sql, SETTINGS,
+                                     objective_rows, out, panel_stage, query, stage)
 from panelyard.plans.oracle import r
 from panelyard.plans.walk_forward import run_walk_forward
 
@@ -346,3 +347,128 @@ def walk_forward_gbrt(spark, sf_dir):
     panel, names = feature_panel(spark, sf_dir)
     preds, _, _ = run_walk_forward(panel, names, SETTINGS, [learners.ModelSpec("gbrt")])
     return out(preds, "signalname", "yyyymm", "fold", "model", "score")
+
+
+# ------------------------------------------------------------------ objectives
+PENALTY = 0.01
+_REWARD = {
+    "sharpe": "-sqrt(12e0) * (1e0 / months / greatest(sd, 1e-8) - CASE WHEN sd > 1e-8 THEN "
+              "mean * (net - mean) / (sd * sd * sd * (months - 1)) ELSE 0 END)",
+    "utility": "-(1e0 / months - 10 * (net - mean) / (months - 1))",
+}
+
+
+def slope_parts(p: str, rows: str, penalty: float) -> dict[str, str]:
+    """Derivatives of both portfolio losses to every score, by scheme: month by month from the
+    weights' moves, a weight's part in next month's starting point included.
+
+    ``rows`` names a part with (model, win, pos, signalname, score, y, carry, sw, n, mean).
+    """
+    cell = "model, win, pos, scheme"
+    parts = {
+        f"{p}dev": f"""
+            SELECT r.*, scheme, score - mean AS dev, CASE WHEN scheme = 'tilt' THEN 1e0 ELSE 2e0 END AS size,
+                   greatest(sum(abs(score - mean)) OVER (PARTITION BY {cell}), 1e-8) AS l1
+            FROM {rows} r, (SELECT unnest(['tilt', 'neutral']) AS scheme)""",
+        f"{p}w": f"SELECT *, CASE WHEN scheme = 'tilt' THEN 1e0 / n ELSE 0 END + size * dev / l1 AS w FROM {p}dev",
+        f"{p}nav": f"""
+            SELECT *, greatest(earned, 1e-1) AS nav, earned > 1e-1 AS live
+            FROM (SELECT *, 1 + sum(w * y) OVER (PARTITION BY {cell}) AS earned FROM {p}w)""",
+        f"{p}held": f"""
+            SELECT a.*, coalesce(b.w * (1 + b.y) / b.nav, 0) AS prior FROM {p}nav a LEFT JOIN {p}nav b
+            ON b.model = a.model AND b.win = a.win AND b.scheme = a.scheme AND b.signalname = a.signalname
+               AND b.pos = a.pos - 1""",
+        f"{p}net": f"""
+            SELECT {cell}, sum(w * y - (sw + {penalty!r}) * (sqrt(pow(w - prior, 2) + 1e-8) - 1e-4)
+                               - carry * abs(w)) AS net FROM {p}held GROUP BY {cell}""",
+        f"{p}pull": " UNION ALL ".join(f"""
+            SELECT {cell}, '{name}' AS objective, {how} AS g
+            FROM (SELECT *, count(*) OVER v AS months, avg(net) OVER v AS mean, stddev_samp(net) OVER v AS sd
+                  FROM {p}net WINDOW v AS (PARTITION BY model, win, scheme))"""
+                                       for name, how in _REWARD.items()),
+        f"{p}pay": f"""
+            SELECT h.*, objective, g, g * (sw + {penalty!r}) * (w - prior) / sqrt(pow(w - prior, 2) + 1e-8) AS pay
+            FROM {p}held h JOIN {p}pull USING ({cell})""",
+        f"{p}dw": f"""
+            SELECT *, g * (y - carry * sign(w)) - pay + later * (1 + y) / nav - CASE WHEN live THEN
+                   y * sum(later * w * (1 + y)) OVER (PARTITION BY {cell}, objective) / (nav * nav) ELSE 0 END AS dw
+            FROM (SELECT a.*, coalesce(b.pay, 0) AS later FROM {p}pay a LEFT JOIN {p}pay b
+                  ON b.model = a.model AND b.win = a.win AND b.scheme = a.scheme AND b.objective = a.objective
+                     AND b.signalname = a.signalname AND b.pos = a.pos + 1)""",
+        f"{p}slope": f"""
+            SELECT *, dd - avg(dd) OVER (PARTITION BY {cell}, objective) AS ds
+            FROM (SELECT *, size * (dw / l1 - CASE WHEN l1 > 1e-8 THEN sign(dev) * along / (l1 * l1) ELSE 0 END) AS dd
+                  FROM (SELECT *, sum(dw * dev) OVER (PARTITION BY {cell}, objective) AS along FROM {p}dw))""",
+    }
+    return parts
+
+
+_SLOPE_PARTS = _OBJ_PARTS | slope_parts("og", "orows", PENALTY)
+
+
+def _portfolio_slopes(name: str):
+    def run(spark, sf_dir):
+        rows = objective_rows(spark, sf_dir)
+        both = [objectives.score_gradient(rows, name, scheme=s, turnover_penalty=PENALTY).withColumn(
+            "scheme", F.lit(s)) for s in ("tilt", "neutral")]
+        return out(both[0].unionByName(both[1]), "model", "window", "pos", "signalname", "scheme", "ds",
+                   digits=5)
+    return run
+
+
+for _name in _REWARD:
+    query(f"objective_gradient_{_name}", f"""
+        SELECT model, win AS "window", pos, signalname, scheme, {r('ds', digits=5)}
+        FROM ogslope WHERE objective = '{_name}'""", _SLOPE_PARTS)(_portfolio_slopes(_name))
+
+
+@query("evaluate_objective_penalised", f"""
+    SELECT model, scheme, CAST(sum(n_months) AS BIGINT) AS n_months,
+           {r('sum(loss * n_months) / sum(n_months)>loss', digits=6)}
+    FROM (SELECT model, win, scheme, count(*) AS n_months, -avg(net) / greatest(stddev_samp(net), 1e-8) * sqrt(12e0)
+                 AS loss FROM ognet GROUP BY ALL) GROUP BY model, scheme""", _SLOPE_PARTS)
+def evaluate_objective_penalised(spark, sf_dir):
+    rows = objective_rows(spark, sf_dir)
+    both = [objectives.evaluate_objective(rows, "sharpe", scheme=s, turnover_penalty=PENALTY).withColumn(
+        "scheme", F.lit(s)) for s in ("tilt", "neutral")]
+    return out(both[0].unionByName(both[1]), "model", "scheme", "n_months", "loss", digits=6)
+
+
+# Coefficient vectors whose gradients are compared: one for reversal, one that mixes signs.
+_VECTORS = {"reversal": [-1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0],
+            "mixed": [-0.5, 0.25, 0.5, 0.5, -1.0, 0.25, 0.1]}
+_LINEAR_PARTS = _SLATE_PARTS | {
+    "lwtrain": "SELECT fold, yyyymm, row_number() OVER (PARTITION BY fold ORDER BY yyyymm) AS k, "
+               "count(*) OVER (PARTITION BY fold) AS months FROM folds WHERE role = 'train'",
+    "lwstart": """
+        SELECT DISTINCT fold, s AS win FROM (
+            SELECT fold, unnest(list_append(range(0, greatest(max(months) - 24, 0) + 1, 12),
+                                            greatest(max(months) - 24, 0))) AS s FROM lwtrain GROUP BY fold)""",
+    "lwin": "SELECT fold, win, k - win AS pos, yyyymm FROM lwtrain JOIN lwstart USING (fold) "
+            "WHERE k > win AND k <= win + 24",
+    "lvec": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {v})" for m, v in _VECTORS.items())
+            + ") AS t(vector, beta)",
+    "lrows": f"""
+        SELECT *, count(*) OVER m AS n, avg(score) OVER m AS mean
+        FROM (SELECT fold || '/' || vector AS model, win, pos, signalname, x, {_dot('beta', 'x')} AS score,
+                     slx.ret_next_dm * {SCALE:g} AS y, 25e-4 AS carry, 5e-3 AS sw
+              FROM (SELECT *, {_X} AS x, y / {SCALE:g} AS ret_next_dm FROM slx) slx
+                   JOIN lwin USING (yyyymm) CROSS JOIN lvec)
+        WINDOW m AS (PARTITION BY model, win, pos)""",
+} | slope_parts("lg", "lrows", 0.0)
+
+
+@query("linear_objective_gradient", f"""
+    SELECT split_part(model, '/', 1) AS fold, split_part(model, '/', 2) AS model, objective, feature, {r('gradient', digits=5)}
+    FROM (SELECT model, objective, {'[' + ', '.join(f"'{c}'" for c in SLATE) + ']'}[i] AS feature,
+                 sum(x[i] * ds) / count(DISTINCT win) AS gradient
+          FROM lgslope, unnest(range(1, {K + 1})) AS t(i) WHERE scheme = 'tilt' GROUP BY model, objective, i)""",
+       _LINEAR_PARTS)
+def linear_objective_gradient(spark, sf_dir):
+    """Gradients of net Sharpe and utility to linear coefficients, for all folds and vectors at once."""
+    rows = training_rows(slate_panel(spark, sf_dir), list(SLATE), _folds(spark, sf_dir), 24)
+    vectors = [(f["fold"], m, v) for f in _folds(spark, sf_dir).select("fold").distinct().collect()
+               for m, v in _VECTORS.items()]
+    table = spark.createDataFrame(vectors, "fold string, model string, beta array<double>")
+    return out(linear_gradients(rows, list(SLATE), table, list(_REWARD)), "fold", "model", "objective",
+               "feature", "gradient", digits=5)
