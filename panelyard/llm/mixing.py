@@ -166,8 +166,11 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row comes round(taken / size) times, which is 0 to ``repeats``.
     """
     taken = mix(df, id_col, text_col, source_col, **params).groupBy("h").agg(
-        F.coalesce(F.round(F.try_divide(F.sum("taken"), F.sum("size"))), F.lit(0)).cast("int").alias("_times")).where("_times > 0")
-    mark = place(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = df.withColumn("_h", mark).join(taken.withColumnRenamed("h", "_h"), "_h")
-    again = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")
-    return rows.select(*[F.col(c) for c in df.columns], again).drop("_again")
+        F.coalesce(F.round(F.try_divide(F.sum("taken"), F.sum("size"))), F.lit(0)).cast("int")
+        .alias("times")).where("times > 0")
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])     # the caller's names cannot clash
+    at, text = (F.col(f"c{df.columns.index(c)}") for c in (id_col, text_col))
+    mark = place(at, F.coalesce(text.cast("string"), F.lit("")))
+    again = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("again")
+    return rows.withColumn("h", mark).join(taken, "h").select(*rows.columns, again).drop(
+        "again").toDF(*df.columns)

@@ -126,9 +126,8 @@ def links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return groups.where(F.size("fps") > 1).select("fps").mapInArrow(_link_batches, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id), one row per input row."""
+def _components(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """(doc_id, fp, root, component_id), one row per input row; ``root`` tells components apart."""
     prints = materialise(fingerprints(df, id_col, text_col), "simhash")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"),
                                                  F.count("*").alias("copies")), "simhash-nodes")
@@ -136,30 +135,50 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.join(labels, "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(names, "root").select("fp", "component_id")
+    classes = named.join(names, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id), one row per input row."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select(
+    return _components(df, id_col, text_col, chunk).select(
         "doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, all columns as they are: the one that names it.
+    """One row of each component, all columns as they are.
 
-    Rows of one identifier are one document. A component without any identifier keeps one row of its
-    smallest fingerprint.
+    It has the component's smallest identifier, then its smallest fingerprint, text, and other
+    columns. Texts under one identifier are told apart: each component keeps one. A
+    component without any identifier keeps one row as well.
     """
-    found = materialise(near_duplicates(df, id_col, text_col), "simhash-found")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = df.join(keep, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns)
-    nameless = found.where("component_id is null").select("fp")
-    labels = connected(links(nameless.distinct())).withColumnRenamed("node", "fp")
-    first = nameless.distinct().join(labels, "fp", "left").where(
-        F.col("root").isNull() | (F.col("root") == F.col("fp"))).select("fp")
-    rest = df.where(F.col(id_col).isNull())
+    found = materialise(_components(df, id_col, text_col, CHUNK), "simhash-found")
     names = [f"c{i}" for i in range(len(df.columns))]
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    at = rest.select(F.struct(*[F.col(c).alias(n) for c, n in zip(df.columns, names)])
-                     .alias("doc_id"), raw.alias("raw"))
-    prints = at.mapInArrow(_fingerprint_batches, out_schema(at, "fp long"))
-    unnamed = prints.join(first, "fp", "left_semi").dropDuplicates(["fp"]).select("doc_id.*")
-    return named.unionByName(unnamed.toDF(*df.columns))
+    rows = df.toDF(*names)
+    at, text = f"c{df.columns.index(id_col)}", F.col(f"c{df.columns.index(text_col)}")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.first("component_id").alias("id"), F.min("fp").alias("fp"))
+    # Fingerprints are made again only where an identifier does not tell which text is meant.
+    torn = found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("id"))
+    torn = materialise(torn, "simhash-torn")
+    plain = materialise(keep.where("id is not null").join(torn, "id", "left_anti"), "simhash-keep")
+    other = materialise(keep.join(plain.select("root"), "root", "left_anti"), "simhash-keep")
+    whole = F.struct(*names)
+
+    def smallest(groups):
+        return groups.agg(F.min_by(whole, F.struct(text.alias("t"), F.to_json(whole).alias("j"))).alias("w")).select("w.*")
+
+    out = smallest(rows.join(plain.select(F.col("id").alias(at)), at, "left_semi").groupBy(at))
+    if other.limit(1).count():
+        torn_rows = rows.join(torn.select(F.col("id").alias(at)), at, "left_semi").unionByName(
+            rows.where(F.col(at).isNull()))
+        raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+        given = torn_rows.select(whole.alias("doc_id"), raw.alias("raw"))
+        prints = given.mapInArrow(_fingerprint_batches, out_schema(given, "fp long")).select("doc_id.*", "fp")
+        meant = F.col(at).eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))
+        wanted = other.select(F.col("id").alias("_id"), F.col("fp").alias("_fp"))
+        out = out.unionByName(smallest(prints.join(wanted, meant, "left_semi").groupBy(at, "fp")))
+    return out.toDF(*df.columns)
