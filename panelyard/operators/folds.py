@@ -68,18 +68,20 @@ def require_folds(folds: DataFrame) -> DataFrame:
     return folds
 
 
-def leakage_violations(folds: DataFrame) -> DataFrame:
-    """(fold, problem) rows; empty when every block strictly precedes the next and no
-    month is tested twice."""
+def leakage_violations(folds: DataFrame, embargo_months: int = 0) -> DataFrame:
+    """(fold, problem) rows; empty when every block strictly precedes the next, no month is tested
+    twice, and no fold learns from the ``embargo_months`` calendar months before its validation."""
     def end(f, role):
         return f(F.when(F.col("role") == role, F.col("yyyymm")))
 
     ends = folds.groupBy("fold").agg(
         end(F.max, "train").alias("train_hi"), end(F.min, "val").alias("val_lo"),
         end(F.max, "val").alias("val_hi"), end(F.min, "test").alias("test_lo"))
+    gap = month_index(F.col("val_lo")) - month_index(F.col("train_hi")) - 1
     order = ends.select("fold", F.explode(F.array_compact(F.array(
         F.when(F.col("train_hi") >= F.col("val_lo"), F.lit("train overlaps val")),
         F.when(F.col("val_hi") >= F.col("test_lo"), F.lit("val overlaps test")),
+        F.when((gap >= 0) & (gap < embargo_months), F.lit("embargo breached")),
     ))).alias("problem"))
     twice = (folds.where(F.col("role") == "test").groupBy("yyyymm")
              .agg(F.count(F.lit(1)).alias("k"), F.min("fold").alias("fold"))

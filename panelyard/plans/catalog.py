@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from panelyard.config import Costs, Portfolio, Settings, Split, Universe
-from panelyard.functions.months import month_index
+from panelyard.functions.months import from_month_index, month_index
 from panelyard.operators import accounting, folds, inference, learners, objectives, transforms
 from panelyard.operators import trailing, turnover, universe, weights
 from panelyard.operators.cross_section import Section, measure
@@ -27,7 +27,8 @@ from panelyard.sources import driver_tables as src
 from panelyard.sources.files import (DOC_FIELDS, build_factors, load_metadata, long_short_returns,
                                      read_factor_text, read_portfolio_returns,
                                      signals_csv_to_parquet, write_csv)
-from panelyard.sources.store import materialise, stage_dir, write_stage
+from panelyard.sources.store import (materialise, refresh_months, stage_dir, stored,
+                                     write_stage)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -237,6 +238,29 @@ def factor_text_source(spark, sf_dir):
     return out(read_factor_text(spark, path))
 
 
+@query("factor_text_files", f"""
+    SELECT yyyymm, {r("CAST(printf('%.6f', mktrf * 100) AS DOUBLE) / 100>mktrf",
+                      "CASE WHEN smb > 0 THEN CAST(printf('%.6f', smb * 100) AS DOUBLE) / 100 END>smb",
+                      "CASE WHEN yyyymm >= 199501 THEN CAST(printf('%.6f', hml * 100) AS DOUBLE) / 100 END>hml")}
+    FROM factors""")
+def factor_text_files(spark, sf_dir):
+    """Two files of unlike headers, widths and months in one read; the second has no prose."""
+    rows = src.factors(spark, sf_dir).dropna()
+    month, hundred = F.col("yyyymm"), F.lit(100)
+    smb = F.when(F.col("smb") > 0, F.col("smb") * hundred).otherwise(-99.99)
+    first = rows.select(month.alias("k"), F.format_string("%d, %.6f, %.6f", month, F.col("mktrf") * hundred, smb)
+                        .alias("value"))
+    second = rows.where(month >= 199501).select(month.alias("k"), F.format_string(
+        "%d, %.6f", month, F.col("hml") * hundred).alias("value"))
+    kinds = "k int, value string"
+    head = spark.createDataFrame([(0, "Two factors."), (1, ",Mkt-RF,SMB"), (300000, ""), (300001, ",HML"),
+                                  (300002, "199001, 5.0")], kinds)
+    tops = spark.createDataFrame([(0, ",HML"), (300000, ""), (300001, "199001, 1.0")], kinds)
+    paths = [_written(text.orderBy("k").coalesce(1).select("value"), name, "text") for text, name in (
+        (head.unionByName(first), "factors-a"), (tops.unionByName(second), "factors-b"))]   # a line per month
+    return out(read_factor_text(spark, paths), "yyyymm", "mktrf", "smb", "hml")
+
+
 @query("asset_returns", f"SELECT signalname, yyyymm, {r('ret', 'log_breadth')} FROM rets")
 def asset_returns(spark, sf_dir):
     return out(src.asset_returns(spark, sf_dir))
@@ -294,6 +318,26 @@ def return_features(spark, sf_dir):
     return out(df, "signalname", "yyyymm", *_TRAILING, "skew_36", coarse={"skew_36": 5})
 
 
+_REFRESHED = ("r_1", "r_12", "r_12_2", "vol_60", "sharpe_60", "dd_60")
+
+
+@query("month_refresh", f"SELECT signalname, yyyymm, {r(*_REFRESHED, digits=7)} FROM feat")
+def month_refresh(spark, sf_dir):
+    """A table of trailing features without its last two months, brought up to date month by month."""
+    live = materialise(returns_in_universe(spark, sf_dir), "universe")
+    months = [m["yyyymm"] for m in folds.distinct_months(live).orderBy(F.desc("yyyymm")).limit(2).collect()]
+    path = f"{stage_dir(spark)}/by-month-{uuid.uuid4().hex}"
+
+    def build(rows):
+        return trailing.add_return_features(trailing.spread_assets(rows)).select(
+            "signalname", "yyyymm", *_REFRESHED)
+
+    stored(spark, path, lambda: build(live.where(F.col("yyyymm") < min(months))), partition_by=("yyyymm",))
+    for month in sorted(months):
+        table = refresh_months(spark, path, live, [month], build, max(trailing.RETURN_WINDOWS))
+    return out(table, "signalname", "yyyymm", *_REFRESHED, digits=7)
+
+
 _LOSS = {
     "lossy": """SELECT signalname, yyyymm, mi, CASE WHEN yyyymm % 100 = 6 AND CAST(signalname AS BIGINT) % 2 = 0
                        THEN -1e0 ELSE ret END AS ret FROM rets""",
@@ -1131,6 +1175,27 @@ def leakage_check(spark, sf_dir):
         .unionByName(test.where(early).withColumn("fold", F.lit("again"))))
 
 
+_BREACHED = _FOLD_PARTS | {"breached": """
+    SELECT fold, role, yyyymm FROM folds
+    UNION ALL SELECT fold, 'train', CAST((t0 - 18 + k - 1) // 12 * 100 + (t0 - 18 + k - 1) % 12 + 1 AS INTEGER)
+    FROM fold_keep JOIN marks USING (y), (SELECT unnest([1, 3]) AS k) WHERE y = 2001"""}
+
+
+@query("embargo_check", """
+    SELECT t.fold, 'embargo breached' AS problem
+    FROM (SELECT fold, max(yyyymm // 100 * 12 + yyyymm % 100) AS hi FROM breached WHERE role = 'train' GROUP BY fold) t
+    JOIN (SELECT fold, min(yyyymm // 100 * 12 + yyyymm % 100) AS lo FROM breached WHERE role = 'val' GROUP BY fold) v
+         USING (fold) WHERE lo - hi - 1 < 6""", _BREACHED)
+def embargo_check(spark, sf_dir):
+    """The folds, with months of the last one's embargo planted among those it learns from."""
+    good = _folds(spark, sf_dir)
+    late = good.where((F.col("role") == "train") & F.col("fold").startswith("2001")).groupBy("fold", "role").agg(
+        F.max(month_index(F.col("yyyymm"))).alias("hi"))
+    planted = late.select("fold", "role", F.explode(F.array(F.col("hi") + 1, F.col("hi") + 3)).alias("mi"))
+    planted = planted.select("fold", "role", from_month_index(F.col("mi")).alias("yyyymm"))
+    return folds.leakage_violations(good.unionByName(planted), SETTINGS.split.embargo_months)
+
+
 @query("fold_rows", f"""
     SELECT fold, role, count(*) AS n, {r('avg(ret_next)>mean_ret')}
     FROM panel JOIN folds USING (yyyymm) GROUP BY fold, role""", _FOLD_PARTS)

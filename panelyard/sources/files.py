@@ -96,40 +96,59 @@ def load_metadata(df: DataFrame) -> DataFrame:
             .select("signalname", "_v.*"))
 
 
-def parse_factor_text(lines: DataFrame, header: list[str] | None = None) -> DataFrame:
-    """First block of monthly rows in a stacked-table text file.
+def factor_values(lines: DataFrame) -> DataFrame:
+    """(file, yyyymm, place, factor, value) of the first block of monthly rows of each file.
 
-    ``lines`` has (file, line, text). The block is the first run of lines whose first
-    field is six digits; its column names come from the first line with as many fields
-    and an empty first one. Files are a few hundred kilobytes, and each is one window
-    partition.
+    ``lines`` has (file, line, text). A file's block is its first run of lines whose first field is six
+    digits; its column names come from its first line with as many fields as the block's first
+    line and an empty first one. Each file is one window partition of a few hundred kilobytes, and
+    any number of files goes through one plan.
     """
     fields = F.transform(F.split("text", ","), lambda s: F.trim(s))
     df = lines.withColumn("_f", fields).withColumn("_k", F.get(F.col("_f"), 0))
-    by_file = Window.partitionBy("file").orderBy("line")
+    whole = Window.partitionBy("file")
+    so_far = whole.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.col("_k").rlike(r"^\d{6}$")
-    df = df.withColumn("_hit", hit)
-    so_far = by_file.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_started", F.max(F.col("_hit").cast("int")).over(so_far))
+    df = df.withColumn("_hit", hit).withColumn("_started", F.max(hit.cast("int")).over(so_far))
     ended = (F.col("_started") == 1) & ~F.col("_hit")
     df = df.withColumn("_ended", F.max(ended.cast("int")).over(so_far))
-    block = df.where((F.col("_started") == 1) & (F.col("_ended") == 0))
-    if header is None:
-        width = block.select(F.size("_f").alias("w")).first()
-        if width is None:
+    inside = (F.col("_started") == 1) & (F.col("_ended") == 0)
+    df = df.withColumn("_in", inside)
+    df = df.withColumn("_width", F.min(F.when(F.col("_in"), F.struct("line", F.size("_f").alias("w"))))
+                       .over(whole)["w"])
+    heads = (F.size("_f") == F.col("_width")) & (F.col("_k") == "")
+    df = df.withColumn("_names", F.min(F.when(heads, F.struct("line", "_f"))).over(whole)["_f"])
+    cells = df.where("_in").select("file", F.col("_k").cast("int").alias("yyyymm"), "_names",
+                                   F.posexplode("_f").alias("place", "_text")).where("place > 0")
+    name = F.regexp_replace(F.lower(F.get("_names", F.col("place"))), "-", "")
+    v = F.col("_text").try_cast("double")
+    return cells.select("file", "yyyymm", "place", F.coalesce(name, F.concat(F.lit("f"), F.col("place") - 1))
+                        .alias("factor"), F.when(v > MISSING_BELOW, v / 100.0).alias("value"))
+
+
+def parse_factor_text(lines: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """(yyyymm, one column per factor): the blocks of all files side by side, by name.
+
+    Where two files have a month of one factor, the first file by name that has a value gives it.
+    With ``header`` the columns of every file get these names in order and nothing is read
+    ahead; else the factors' names are looked up once.
+    """
+    cells = factor_values(lines)
+    if header is not None:
+        names = list(dict.fromkeys(header))
+        cells = cells.withColumn("factor", F.get(F.array(*map(F.lit, header)), F.col("place") - 1))
+    else:
+        found = cells.groupBy("factor").agg(F.min(F.struct("file", "place")).alias("at"))
+        names = [r["factor"] for r in found.orderBy("at").collect()]   # one row per column
+        if not names:
             raise ValueError("no monthly block found")
-        head = (df.where((F.size("_f") == width["w"]) & (F.col("_k") == ""))
-                .orderBy("line").select("_f").first())
-        names = head["_f"][1:] if head else [f"f{i}" for i in range(width["w"] - 1)]
-        header = [n.lower().replace("-", "") for n in names]
-    values = []
-    for i, name in enumerate(header):
-        v = F.get(F.col("_f"), i + 1).try_cast("double")
-        values.append(F.when(v > MISSING_BELOW, v / 100.0).alias(name))
-    return block.select(F.col("_k").cast("int").alias("yyyymm"), *values)
-
-
-def read_factor_text(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
+    given = F.when(F.col("value").isNotNull(), F.col("file"))
+    return cells.groupBy("yyyymm").agg(*[
+        F.min_by(F.when(F.col("factor") == n, F.col("value")), F.when(F.col("factor") == n, given)).alias(n)
+        for n in names])
+
+
+def read_factor_text(spark: SparkSession, path: str | list[str], header: list[str] | None = None) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")))
     return parse_factor_text(whole.toDF("file", "line", "text"), header)

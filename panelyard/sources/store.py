@@ -11,9 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 # A side is hinted as broadcast only when its row count is proven to be below
 # this; otherwise the planner decides from real sizes (AQE, skew-join splits).
@@ -60,18 +59,79 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, name))
 
 
-def stored(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
-    """Read the table at ``path``; build and write it first if absent or ``force``."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and ``path`` in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _marker(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+
+
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write was committed: a single file, or a folder with the writer's marker."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        return False
+    return fs.getFileStatus(at).isFile() or fs.exists(_marker(spark, path))
+
+
+def stored(spark: SparkSession, path: str, build, force: bool = False,
+           partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Read the finished table at ``path``; build and write it first if there is none, or ``force``.
+
+    It is written beside and then renamed, so a write that was killed leaves no table, or the old one;
+    what an unfinished write left at ``path`` is replaced.
+    """
+    if force or not is_finished(spark, path):
+        fs, at = _files(spark, path)
+        beside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
+        build().write.option("compression", "zstd").partitionBy(*partition_by).parquet(beside)
+        fs.delete(at, True)
+        if not fs.rename(_files(spark, beside)[1], at):
+            raise OSError(f"could not rename {beside} to {path}")
+    return spark.read.parquet(path)
+
+
+def refresh(spark: SparkSession, path: str, rows: DataFrame, key: str = "yyyymm") -> DataFrame:
+    """Replace the partitions of ``key`` that ``rows`` has, and no others.
+
+    The table counts as unfinished until this is committed: if it is killed, ``stored`` builds anew.
+    """
+    if not is_finished(spark, path):
+        raise ValueError(f"no finished table at {path}")
+    fs, _ = _files(spark, path)
+    fs.delete(_marker(spark, path), False)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("compression", "zstd").partitionBy(key).parquet(path))
+    if not fs.exists(_marker(spark, path)):      # whatever the writer's settings for its marker
+        fs.create(_marker(spark, path)).close()
     return spark.read.parquet(path)
 
 
+def with_history(rows: DataFrame, months, length: int, asset: str = "signalname",
+                 key: str = "yyyymm") -> DataFrame:
+    """The rows of ``months`` and all between, after each asset's last ``length`` rows before them."""
+    first, last = min(months), max(months)
+    before = rows.where(F.col(key) < first)
+    place = F.row_number().over(Window.partitionBy(asset).orderBy(F.desc(key)))
+    before = before.withColumn("_place", place).where(F.col("_place") <= length).drop("_place")
+    return before.unionByName(rows.where(F.col(key).between(first, last)))
+
+
+def refresh_months(spark: SparkSession, path: str, rows: DataFrame, months, build, history: int,
+                   asset: str = "signalname", key: str = "yyyymm") -> DataFrame:
+    """Bring the partitions of ``months`` up to date in a table of trailing features.
+
+    ``build`` makes the table from source rows and looks back at most ``history`` rows of an asset,
+    so it runs on these months and that much before them. Later months that look back at
+    the changed ones are the caller's to name.
+    """
+    made = build(with_history(rows, months, history, asset, key))
+    return refresh(spark, path, made.where(F.col(key).isin(sorted(months))), key)
+
+
 def attach(df: DataFrame, table: DataFrame, keys, rows: int | None, how: str = "left") -> DataFrame:
     """Join a per-group ``table`` holding at most ``rows`` rows back onto ``df``."""
     keys = list(keys)

@@ -1,9 +1,11 @@
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from panelyard.operators.metadata import common_levels
 from panelyard.sources import files as S
-from panelyard.sources.store import stage_dir, stored
+from panelyard.sources.store import refresh_months, stage_dir, stored
 
 TEXT = """This file was made up for a test.
 Missing data are coded -99.99.
@@ -94,6 +96,57 @@ def test_stored_tables_are_built_once(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_killed_writes_are_built_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    (tmp_path / "t" / "_SUCCESS").unlink()            # as a killed write leaves it
+    assert stored(spark, path, lambda: spark.range(3)).count() == 3
+
+    def broken():
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        stored(spark, path, broken, force=True)
+    assert stored(spark, path, broken).count() == 3   # the old table is still there
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_a_month_is_refreshed_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(a, m, float(m + i)) for i, a in enumerate("xyz") for m in range(200001, 200011)
+                                  if (i + m) % 4], "signalname string, yyyymm int, v double")
+
+    def build(df):
+        own = Window.partitionBy("signalname").orderBy("yyyymm")
+        return df.select("signalname", "yyyymm", F.sum("v").over(own.rowsBetween(-2, 0)).alias("s"))
+
+    stored(spark, path, lambda: build(rows.where("yyyymm < 200010")), partition_by=("yyyymm",))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    got = refresh_months(spark, path, rows, [200010], build, 2)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert all(after[p] == t for p, t in before.items())
+    assert {p.parent.name for p in set(after) - set(before)} == {"yyyymm=200010"}
+    assert sorted(map(tuple, got.select("signalname", "yyyymm", "s").collect())) == sorted(map(tuple, build(rows).collect()))
+    changed = rows.withColumn("v", F.when(F.col("yyyymm") == 200005, 0.0).otherwise(F.col("v")))
+    got = refresh_months(spark, path, changed, range(200005, 200011), build, 2)
+    assert sorted(map(tuple, got.select("signalname", "yyyymm", "s").collect())) == sorted(map(tuple, build(changed).collect()))
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError):
+        refresh_months(spark, path, rows, [200010], build, 2)
+    assert stored(spark, path, lambda: build(rows), partition_by=("yyyymm",)).count() == rows.count()
+
+
+def test_factor_files_of_unlike_headers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Prose, with commas\n,Mkt-RF,SMB\n200001, 1.0, -99.99\n200002, 2.0, 3.0\n\n,HML\n200003, 9.0\n")
+    (tmp_path / "b.txt").write_text(",SMB,RMW,CMA\r\n200001, 5.0, x, 7.0\r\n200004, 8.0, 1.0, 2.0\r\n")
+    (tmp_path / "c.txt").write_text("nothing monthly here\n")
+    got = {r["yyyymm"]: r.asDict() for r in S.read_factor_text(spark, str(tmp_path)).collect()}
+    assert list(next(iter(got.values()))) == ["yyyymm", "mktrf", "smb", "rmw", "cma"]
+    assert sorted(got) == [200001, 200002, 200004]
+    assert got[200001] == {"yyyymm": 200001, "mktrf": 0.01, "smb": 0.05, "rmw": None, "cma": 0.07}
+    assert got[200002]["smb"] == 0.03 and got[200004]["mktrf"] is None and got[200004]["rmw"] == 0.01
+
+
 def test_stage_folder_is_the_clusters(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     assert shared is None or stage_dir(spark).startswith(f"{shared.rstrip('/')}/stages-")

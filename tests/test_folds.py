@@ -62,6 +62,15 @@ def test_violations_are_found(spark):
         "train overlaps val", "month tested twice"}
 
 
+def test_breaches_of_the_embargo_are_found(spark):
+    rows = [("a", "train", 200006), ("a", "val", 200101), ("b", "train", 200007), ("b", "val", 200101),
+            ("c", "train", 199912), ("c", "train", 200012), ("c", "val", 200101)]
+    folds = spark.createDataFrame(rows, "fold string, role string, yyyymm int")
+    assert {r["fold"] for r in L.leakage_violations(folds, 6).collect()} == {"b", "c"}
+    assert L.leakage_violations(folds, 6).select("problem").distinct().collect()[0][0] == "embargo breached"
+    assert L.leakage_violations(folds).count() == 0
+
+
 @pytest.mark.parametrize("n,length,stride", [(10, 4, None), (11, 4, 4), (3, 8, None), (8, 8, 2),
                                              (13, 5, 3)])
 def test_windows(spark, n, length, stride):
