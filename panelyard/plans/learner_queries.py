@@ -71,11 +71,12 @@ _SLATE_PARTS = _FOLD_PARTS | {
     # Systems (c + a I | b), solved by elimination, one pivot a step.
     "slsys": f"""
         SELECT fold, model, param, list_transform(range(1, {K + 1}), lambda i: list_concat(
-                   list_transform(range(1, {K + 1}), lambda j: c[i][j] + CASE WHEN i = j THEN a ELSE 0 END),
-                   [b[i]])) AS m
-        FROM slm, (VALUES ('ols', '', 0e0), ('ridge', '10', 1e1), ('ridge', '100', 1e2),
-                          ('ridge', '1000', 1e3), ('ridge', '10000', 1e4), ('ridge', '100000', 1e5))
-             AS t(model, param, a)""",
+                   list_transform(range(1, {K + 1}), lambda j: c[i][j] + CASE WHEN i = j THEN a ELSE 0 END
+                                  + u * n * mx[i] * mx[j]), [b[i] + u * n * mx[i] * my])) AS m
+        FROM slm, (VALUES ('ols', '', 0e0, 0), ('ridge', '10', 1e1, 0), ('ridge', '100', 1e2, 0),
+                          ('ridge', '1000', 1e3, 0), ('ridge', '10000', 1e4, 0), ('ridge', '100000', 1e5, 0),
+                          ('lin_mse', '', 0e0, 1))
+             AS t(model, param, a, u)""",
     "slgone": f"""
         SELECT * FROM (WITH RECURSIVE e AS (
             SELECT fold, model, param, 1 AS p, m FROM slsys
@@ -180,6 +181,7 @@ _SLATE_PARTS = _FOLD_PARTS | {
         SELECT * FROM h WHERE i = 250)""",
     "slcand": f"""
         SELECT fold, model, param, list_transform(m, lambda row: row[{K + 1}]) AS beta FROM slgone
+        WHERE model <> 'lin_mse'
         UNION ALL SELECT fold, 'enet', a || '-' || l, w FROM slnet
         UNION ALL SELECT fold, model, param, beta FROM slpcr
         UNION ALL SELECT fold, 'pls', k::varchar, beta FROM slpls0""",
@@ -215,6 +217,14 @@ def slate_predictions(spark, sf_dir):
     return out(preds, "signalname", "yyyymm", "fold", "model", "score", digits=5)
 
 
+@query("fit_timings", "SELECT DISTINCT fold, m.model, true AS timed FROM folds CROSS JOIN (SELECT unnest(["
+       + ", ".join(f"'{m}'" for m in MODELS) + "]) AS model) m", _FOLD_PARTS)
+def fit_timings(spark, sf_dir):
+    """The log of fits: one row per fold and model, with the seconds each took."""
+    _, _, took = run_walk_forward(slate_panel(spark, sf_dir), list(SLATE), SETTINGS, _SPECS)
+    return took.select("fold", "model", (F.col("seconds") >= 0).alias("timed"))
+
+
 @query("walk_forward_all_baselines")
 def walk_forward_all_baselines(spark, sf_dir):
     """Every linear model on every fold and feature."""
@@ -341,6 +351,25 @@ def feature_importance(spark, sf_dir):
     return out(top, "fold", "feature", "place", "n_splits", "share", digits=7)
 
 
+_DEFAULT_SQL = f"""
+    SELECT fold, signalname, yyyymm, model, {_dot('beta', 'x')} + b0 AS score FROM sl JOIN (
+        SELECT fold, model, b0, beta FROM slfits WHERE model IN ('ols_h', 'ridge', 'enet', 'pls')
+        UNION ALL SELECT fold, model, 0e0, list_transform(m, lambda row: row[{K + 1}]) FROM slgone
+        WHERE model = 'lin_mse') USING (fold) WHERE role = 'test'
+    UNION ALL
+    SELECT fold, signalname, yyyymm, 'gbrt', [{", ".join(f"f{t}" for t in range(1, TREES.rounds + 1))}][t]
+    FROM tr{TREES.rounds} JOIN tbest USING (fold) WHERE role = 'test'"""
+
+
+@query("default_slate", f"SELECT fold, signalname, yyyymm, model, {r('score', digits=5)} FROM ({_DEFAULT_SQL})",
+       _TREE_PARTS)
+def default_slate(spark, sf_dir):
+    """Every model of the default comparison on every fold, the trees few and shallow."""
+    preds, _, _ = run_walk_forward(slate_panel(spark, sf_dir), list(SLATE), SETTINGS, learners.DEFAULT_SPECS,
+                                   boosting=TREES, edges={c: _EDGES for c in SLATE})
+    return out(preds, "fold", "signalname", "yyyymm", "model", "score", digits=5)
+
+
 @query("walk_forward_gbrt")
 def walk_forward_gbrt(spark, sf_dir):
     """Boosted trees on every fold and feature, up to 2000 rounds with patience."""
