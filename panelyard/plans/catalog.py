@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from panelyard.config import Costs, Portfolio, Settings, Split, Universe
+from panelyard.config import Settings, Split, Universe
 from panelyard.functions.months import from_month_index, month_index
 from panelyard.operators import accounting, folds, inference, learners, objectives, transforms
 from panelyard.operators import trailing, turnover, universe, weights
