@@ -460,7 +460,7 @@ def test_near_copies_of_edited_passages_are_found():
         return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
 
     def files(raw):
-        w = passages.windows_of(raw)
+        w = passages.windows_of([raw])
         return {(side, k, x) for side in ("before", "after") for k, x in zip(w["key"], w[side]) if x}
 
     for size in (51, 60, 100, 200):
