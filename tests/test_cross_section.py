@@ -75,3 +75,17 @@ def test_split_binary(spark):
     df = spark.createDataFrame([(0.0, 1.0, None), (1.0, 2.0, None), (1.0, 3.0, None)],
                                "b double, c double, n double")
     assert transforms.split_binary(df, ["b", "c", "n"]) == (["c"], ["b", "n"])
+
+
+def test_whole_months_are_ranked_without_a_window_per_column(spark):
+    nan = float("nan")
+    df = spark.createDataFrame(
+        [("a", 1, 2.0, 7), ("b", 1, 2.0, None), ("c", 1, nan, 3), ("d", 1, None, 3), ("e", 1, -0.0, 3),
+         ("f", 1, 0.0, 9), ("a", 2, 5.0, None), ("b", 2, None, None)], "signalname string, yyyymm int, x double, k int")
+    whole = transforms.rank_normalise(df, ["x", "k"])
+    assert "Window" not in whole._jdf.queryExecution().toString()
+    celled = transforms.rank_normalise(df, ["x", "k"], row_limit=2)
+    key = ["yyyymm", "signalname"]
+    a, b = (v.toPandas().sort_values(key).reset_index(drop=True) for v in (whole, celled))
+    assert a.equals(b[a.columns])
+    assert whole.schema == celled.select(whole.columns).schema or whole.dtypes == celled.dtypes
