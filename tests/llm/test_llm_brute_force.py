@@ -222,6 +222,27 @@ def test_rows_beyond_the_calibration_sample_are_counted(spark, monkeypatch):
     assert nats[0, 0] < 10
 
 
+def test_all_rows_of_the_third_part_calibrate(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(int(rng.integers(6, 30))))
+
+    docs = [(i, text("abcde"), "en") if i % 3 else (i, text("lmnop"), "xx") for i in range(2_000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    scored = []
+    monkeypatch.setattr(langid, "_calibrate", lambda m, d, keep=langid._calibrate: (
+        scored.append(d.count()), keep(m, d)))
+    models = []
+    for most in (20_000, 50):
+        monkeypatch.setattr(langid, "CALIBRATED", most)
+        models.append(langid.fit(table))
+    third = sum(remainder(i) == 3 for i, _, _ in docs)
+    assert scored == [third, third]
+    assert models[0].temperature == models[1].temperature
+    assert (models[0].thresholds == models[1].thresholds).all() and np.isfinite(models[0].thresholds).all()
+
+
 def test_large_models_are_whole(spark, rows, monkeypatch):
     df = spark.createDataFrame([(int(i), t, x) for i, t, x in zip(
         rows["doc_id"][:300], rows["text"], rows["lang"])] + [(7, "same id", "en"), (7, "same id", "en"),
