@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from panelyard.config import Costs
 from panelyard.operators import turnover as T
@@ -60,6 +61,29 @@ def test_series_matches_brute_force(spark):
                     assert abs(mine[m]["rank_autocorr"] - corr) < 1e-12
 
 
+def test_measured_turnover_needs_no_book(spark):
+    """Wide months beside each other give what the books give, in one exchange of the wide rows."""
+    df = signal_table()
+    df.loc[df["permno"] == 7, "s1"] = np.inf        # not finite: missing
+    firms = spark.createDataFrame(df.astype({"s2": "float64"})).replace(float("nan"), None)
+    unnamed = firms.withColumn("permno", F.when(F.col("permno") != 9, F.col("permno")))
+    for table in (firms, unnamed, firms.withColumn("permno", F.col("permno").cast("string"))):
+        whole = T.measured_turnover(table, ["s1", "s2"])
+        text = whole._jdf.queryExecution().toString()
+        assert "Window" not in text
+        series = T.turnover_series(T.decile_book(T.unpivot_signals(table, ["s1", "s2"])))
+        booked = T.measured_turnover(table, ["s1", "s2"], row_limit=12)
+        want = {(r["signalname"], r["yyyymm"]): r for r in series.collect()}
+        assert whole.dtypes == series.dtypes
+        for got in (whole.collect(), booked.collect()):
+            assert {(r["signalname"], r["yyyymm"]) for r in got} == set(want) and len(got) == len(want)
+            for r in got:
+                other = want[r["signalname"], r["yyyymm"]]
+                assert abs(r["turnover"] - other["turnover"]) < 1e-12
+                assert (r["rank_autocorr"] is None) == (other["rank_autocorr"] is None)
+                assert r["rank_autocorr"] is None or abs(r["rank_autocorr"] - other["rank_autocorr"]) < 1e-12
+
+
 def test_causal_turnover_never_sees_its_own_month(spark):
     months = months_from(200001, 30)
     df = spark.createDataFrame([("s", m, float(i)) for i, m in enumerate(months)],
