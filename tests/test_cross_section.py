@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelyard.operators import cross_section as X
 from panelyard.operators import transforms
+from panelyard.sources import store
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,27 @@ def test_no_task_gets_a_large_group(skewed):
     assert "_cell" in text and "_salt" in text
 
 
+def test_cuts_a_row_is_looked_up_in_stay_few(skewed, monkeypatch):
+    """A small limit does not make every row carry a cut for each few rows of its group."""
+    kept = []
+
+    def keep(df, name="stage"):
+        kept.extend([df] if name == "cuts" else [])
+        return store.materialise(df, name)
+
+    monkeypatch.setattr(X, "materialise", keep)
+    section = X.measure(skewed, ["g"])
+    assert section.largest > 8 * X.CUTS
+    got = X.rank_within(skewed, ["g"], "v", tie="id", section=section, average="a", ordinal="o",
+                        row_limit=4).toPandas().sort_values("id")
+    np.testing.assert_array_equal(got["a"], got.groupby("g")["v"].rank())
+    first = got.sort_values(["v", "id"]).groupby("g")["v"].rank(method="first")
+    np.testing.assert_array_equal(got["o"], first.reindex(got.index))
+    assert len(kept) == 2
+    for plan in kept:
+        assert plan.agg(F.max(F.size("__cuts"))).first()[0] <= X.CUTS
+
+
 @pytest.mark.parametrize("limit", [None, 60])
 def test_quantiles(skewed, limit):
     section = X.measure(skewed, ["g"])
