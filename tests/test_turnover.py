@@ -107,3 +107,19 @@ def test_costs_fill_forward_then_fall_back(spark):
     assert abs(got["b", 200001]["carry_cost"] - 0.2 * 25 / 1e4) < 1e-15
     flat = T.attach_costs(panel, None, flat_turnover=0.3).first()
     assert flat["turnover_raw"] == 0.3
+
+
+def test_fallback_median_comes_from_counts_of_few_values(spark):
+    """With a bound on the series no row of the panel is gathered for its median."""
+    months = months_from(200001, 12)
+    panel = spark.createDataFrame([(f"a{i}", m, 1.0) for i in range(9) for m in months],
+                                  "signalname string, yyyymm int, holding_months double")
+    causal = spark.createDataFrame(
+        [(f"a{i}", m, (i * j % 7) / 8) for i in range(6) for j, m in enumerate(months) if (i + j) % 3],
+        "signalname string, yyyymm int, turnover_causal double")
+    for fallback in ("pooled", "month"):
+        a, b = (T.attach_costs(panel, causal, Costs(), fallback=fallback, causal_rows=n) for n in (72, None))
+        assert "row_number" in b._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in a._jdf.queryExecution().optimizedPlan().toString()
+        a, b = (sorted((r["signalname"], r["yyyymm"], r["turnover_raw"]) for r in v.collect()) for v in (a, b))
+        assert a == b and None not in {r[2] for r in a if fallback == "pooled"}
