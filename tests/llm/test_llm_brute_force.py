@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -507,3 +508,35 @@ def test_compact_windows_cover_every_long_stretch():
             for j in range(i + 29, 120, 5):
                 low = h[i:j + 1].min()
                 assert any(l <= i and j <= r and h[c] == low for l, c, r in found)
+
+
+def test_near_pairs_of_chunks_by_plain_counts_in_small_parts(monkeypatch):
+    """Places of two chunks (and of one with itself) against a loop over all pairs; parts stay small."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(passages, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(passages, "COLUMNS", 64)
+    base = rng.integers(0, 1 << 32, 400, dtype=np.uint64).astype(np.uint32)
+    rows = []
+    for n in range(60):
+        sh = np.where(rng.random(185) < 0.15 * (n % 4), rng.integers(0, 1 << 32, 185, dtype=np.uint64),
+                      base[(n % 3) * 100:][:185]).astype(np.uint32)
+        rows.append((n % 2, n // 2 * 7 + n % 5, 3 * n, n + 40, 92 + n, n % 6, 92, sh.tobytes()))
+    df = pd.DataFrame(rows, columns=["x", "t", "l", "r", "c", "g", "at", "sh"])
+
+    def plain(one, two):
+        out = set()
+        for p in one.itertuples():
+            for q in two.itertuples():
+                a = np.frombuffer(p.sh, np.uint32)[p.at - passages.LEAST + 1:p.at + passages.LEAST]
+                b = set(np.frombuffer(q.sh, np.uint32)[:q.at + 2 * passages.LEAST + 1].tolist())
+                if sum(v in b for v in a.tolist()) >= passages.NEAR and p.t != q.t and p.g != q.g:
+                    s, e = (p, q) if p.t < q.t else (q, p)
+                    out.add((s.t, e.t, s.l, s.r, s.c, e.c - s.c))
+        return out
+
+    for i, j in ((0, 1), (0, 0)):
+        here = df[df["x"].isin([i, j])]
+        parts = list(passages._near_pairs((1, i, j), iter([here.iloc[:20], here.iloc[20:]])))
+        got = [tuple(r) for part in parts for r in part.itertuples(index=False)]
+        assert set(got) == plain(here[here["x"] == i], here[here["x"] == j]) and len(got) == len(set(got)) > 20
+        assert max(map(len, parts)) <= 7
