@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.llm import alignment, attention, langid, mixing, prefix_trie, queries, simhash
+from panelyard.llm import alignment, attention, langid, mixing, prefix_trie, queries, shared, simhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -297,3 +298,26 @@ def test_letters_of_the_raw_text_decide_und(spark, monkeypatch, cells):
     assert all(got[i].score == 0 for i in range(6))
     kept = {r.doc_id for r in langid.known_only(df, langid.fit(df)).where("doc_id < 100").collect()}
     assert kept == {6, 7, 8}
+
+
+def test_known_texts_alone_go_to_workers(spark):
+    rows = [(i, "der hund und die katze sind im haus", "de") for i in range(30)]
+    rows += [(100 + i, "the dog and the cat are in the house", "en") for i in range(30)] + [(7, None, "de"), (8, "½", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.expr(
+        "make_interval(1)"))                       # of a type that Arrow batches do not take
+    got = langid.known_only(df, langid.fit(df))
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == [*range(30), *range(100, 130)]
+    assert got.where("kept is not null").count() == 60
+
+
+def test_batches_of_texts_are_small(spark):
+    docs = spark.range(0, 3_000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    shared.ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 30_000_000 and max(got) < 5_000_000
