@@ -321,3 +321,29 @@ def test_batches_of_texts_are_small(spark):
 
     got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
     assert sum(got) >= 30_000_000 and max(got) < 5_000_000
+
+
+def rows_of(text, lang, n, parts, start=0):
+    """Rows of one text whose identifiers have one of the remainders ``parts``."""
+    ids = (i for i in range(start, 1 << 30) if zlib.crc32(str(i).encode()) % 4 in parts)
+    return [(next(ids), text, lang) for _ in range(n)]
+
+
+def test_few_rows_of_the_third_part_are_counted_by_the_query(spark):
+    rows = rows_of("aba bab abba", "en", 40, {0, 1}) + rows_of("aba qqqzz qqqzz", "en", 10, {3})
+    rows += rows_of("lolo qumu zolo lomu", "xx", 40, {0, 1}, 10_000) + rows_of("lolo mumu", "xx", 10, {3}, 10_000)
+    asked = rows_of("qqqzz qqqzz qqqzz", "xx", 3, {2}, 20_000)     # held out, its label is not learned from
+    got = langid.identify(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string"))
+    found = [r for r in got.collect() if r.doc_id in {i for i, _, _ in asked}]
+    assert [(r.held_out, r.lang_pred) for r in found] == [(True, "en")] * 3
+
+
+def test_rows_of_hashes_by_plain_search():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 3_000):
+        known = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        known = np.unique(np.concatenate([known, known[:99] + np.uint64(1)]))      # neighbours share their first bits
+        model = langid.Model(["en"], known, np.zeros((len(known) + 1, 1)), np.ones((len(known) + 1, 1)), np.ones(1))
+        asked = np.concatenate([known, known + np.uint64(2), np.array([0, (1 << 64) - 1], np.uint64)])
+        place = {h: i for i, h in enumerate(known.tolist())}
+        assert model._row(asked).tolist() == [place.get(h, len(known)) for h in asked.tolist()]
