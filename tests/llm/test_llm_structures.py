@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -338,6 +339,17 @@ def test_few_rows_of_the_third_part_are_counted_by_the_query(spark):
     assert [(r.held_out, r.lang_pred) for r in found] == [(True, "en")] * 3
 
 
+@pytest.mark.parametrize("cells", [langid.CELLS, 10])
+def test_pipeline_keeps_a_language_whatever_its_remainders(spark, monkeypatch, cells):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    rows = [(i, "the dog and the cat are in the house", "en") for i in range(60)]
+    rows += [(100 + i, "der hund und die katze sind im haus", "de") for i in range(60)]
+    rows += rows_of("это русский текст о погоде и природе", "ru", 5, {2}, 1_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_id(spark, df, "")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+
+
 def test_rows_of_hashes_by_plain_search():
     rng = np.random.default_rng(6)
     for n in (0, 1, 5, 3_000):
