@@ -540,3 +540,44 @@ def test_near_pairs_of_chunks_by_plain_counts_in_small_parts(monkeypatch):
         got = [tuple(r) for part in parts for r in part.itertuples(index=False)]
         assert set(got) == plain(here[here["x"] == i], here[here["x"] == j]) and len(got) == len(set(got)) > 20
         assert max(map(len, parts)) <= 7
+
+
+def test_near_pairs_of_files_that_go_on_in_the_next_frame(monkeypatch):
+    """Rows in frames of any size give the pairs of each whole file, alone and together."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(passages, "PAIRS_AT_ONCE", 200)
+    base = rng.integers(0, 1 << 32, 400, dtype=np.uint64).astype(np.uint32)
+    rows = [(n // 9 - 3, 0, 0, 0, n, n, n + 40, 92 + n, n % 4, 92, base[n % 3 * 100:][:185].tobytes()) for n in range(90)]
+    df = pd.DataFrame(rows, columns=["file", "i", "j", "x", "t", "l", "r", "c", "g", "at", "sh"])
+    want = {r for key, part in df.groupby(["file", "i", "j"]) for pairs in passages._near_pairs(key, iter([part]))
+            for r in pairs.itertuples(index=False, name=None)}
+    assert len(want) > 60
+    for size in (1, 7, 9, 90):
+        parts = list(passages._near_frames(df.iloc[n:n + size] for n in [*range(0, 90, size), 90]))
+        got = [r for part in parts for r in part.itertuples(index=False, name=None)]
+        assert len(got) == len(want) and set(got) == want
+        assert size == 1 or len(parts) < 10
+
+
+def test_compared_offsets_are_the_commonest_of_each_cluster():
+    rng = np.random.default_rng(7)
+    for size in (46, 80, 300):
+        for _ in range(50):
+            steps = np.sort(rng.integers(-120, 120, int(rng.integers(1, 40))) // int(rng.integers(1, 9)))
+            clusters = []
+            for x in np.unique(steps).tolist():
+                if clusters and x - clusters[-1][-1] <= max(size // 4 // 4, 1):
+                    clusters[-1].append(x)
+                else:
+                    clusters.append([x])
+            often = {x: int((steps == x).sum()) for x in steps.tolist()}
+            clusters.sort(key=lambda c: -sum(often[x] for x in c))
+            want = [(max(c, key=lambda x: (often[x], -x)), size // 4) for c in clusters]
+            assert list(passages._diagonals(steps, size)) == want
+
+
+def test_texts_are_hashed_once_for_all_rounds(spark, rows, monkeypatch):
+    calls = []
+    monkeypatch.setattr(passages, "shingled", lambda *a, keep=passages.shingled: calls.append(1) or keep(*a))
+    passages.repeated_passages(spark.createDataFrame(rows[["doc_id", "text"]].head(200)))
+    assert len(calls) == 1
